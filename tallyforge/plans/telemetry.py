@@ -316,22 +316,22 @@ def a8(spark, sf):
     return stats.net_stats(b.packets(spark, sf))
 
 
-@query("w9_traffic_bursts", NET_STATS_SQL + "\nSELECT pid, is_send, t, seq, round(v, 3) AS gap_variance FROM nbursts")
+@query("w9_traffic_bursts", NET_STATS_SQL + "\nSELECT pid, is_send, t, seq, round(v + 1e-7, 3) AS gap_variance FROM nbursts")
 def w9(spark, sf):
     return rules.traffic_bursts(b.packets(spark, sf)).select(
-        "pid", "is_send", "t", "seq", F.round("gap_variance", 3).alias("gap_variance"))
+        "pid", "is_send", "t", "seq", F.round(F.col("gap_variance") + 1e-7, 3).alias("gap_variance"))
 
 
 @query("d16_net_rules", NET_STATS_SQL + """
 SELECT pid, 'large_send' AS rule, CAST(tx_bytes AS DOUBLE) AS value FROM nstats WHERE tx_bytes > 10485760
 UNION ALL SELECT pid, 'large_receive', CAST(rx_bytes AS DOUBLE) FROM nstats WHERE rx_bytes > 10485760
 UNION ALL SELECT pid, 'connections', CAST(connections AS DOUBLE) FROM nstats WHERE connections > 100
-UNION ALL SELECT pid, CASE WHEN is_send THEN 'send_burst' ELSE 'receive_burst' END, round(max(v), 3)
+UNION ALL SELECT pid, CASE WHEN is_send THEN 'send_burst' ELSE 'receive_burst' END, round(max(v) + 1e-7, 3)
 FROM nbursts GROUP BY pid, is_send""")
 def d16(spark, sf):
     events = b.packets(spark, sf)
     hits = rules.net_rules(stats.net_stats(events), rules.traffic_bursts(events))
-    return hits.withColumn("value", F.round("value", 3))
+    return hits.withColumn("value", F.round(F.col("value") + F.when(F.col("rule").endswith("burst"), 1e-7).otherwise(0.0), 3))
 
 
 @query("a31_connections", "WITH " + b.NET_SQL + "\nSELECT DISTINCT pid, source, destination, protocol, connection FROM net")
@@ -561,7 +561,7 @@ def a23(spark, sf):
 @query("a32_array_summary", """
 SELECT vec_id, round(list_min(x), 5) AS min, round(list_max(x), 5) AS max, round(list_avg(x), 5) AS mean,
        round(list_stddev_samp(x), 5) AS std, CAST(len(x) AS INTEGER) AS length
-FROM (SELECT vec_id, list_transform(embedding, v -> CAST(v AS DOUBLE)) AS x FROM embeddings)""")
+FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)""")
 def a32(spark, sf):
     out = stats.array_summary(b.table(spark, sf, "embeddings"), "embedding")
     return out.select("vec_id", *[F.round(c, 5).alias(c) for c in ("min", "max", "mean", "std")], "length")
