@@ -74,7 +74,11 @@ def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | Non
             recent.insert(0, name)
         return part.assign(since=since)
 
-    return rows.groupBy(*keys).cogroup(carried.groupBy(*[f"before_{k}" for k in keys])).applyInPandas(one, schema)
+    # Groups are small in bytes but heavy to compute, so they are spread over all partitions.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = [f"before_{k}" for k in keys]
+    return rows.repartition(parts, *keys).groupBy(*keys).cogroup(
+        carried.repartition(parts, *borders).groupBy(*borders)).applyInPandas(one, schema)
 
 
 def _order_hypotheses(calls: DataFrame, follows: bool, pool: DataFrame | None, chunk: int,

@@ -192,7 +192,7 @@ inside AS (
     AND c."end" <= p."end" AND c.call_id <> p.call_id)"""
 
 
-@query("j6_events_in_calls", "WITH " + INSIDE_SQL + "\nSELECT process_id, thread_id, parent_id, call_id, "at" FROM inside")
+@query("j6_events_in_calls", "WITH " + INSIDE_SQL + "\nSELECT process_id, thread_id, parent_id, call_id, \"at\" FROM inside")
 def j6(spark, sf):
     return tr.events_in_calls(calls(spark, sf)).select("process_id", "thread_id", "parent_id", "call_id", "at")
 
@@ -214,7 +214,7 @@ def changed(spark, sf):
     return tr.changes_in_calls(short_calls(spark, sf), tr.changes(states(spark, sf)))
 
 
-@query("j7_changes_in_calls", "WITH " + SHORT_SQL + "\nSELECT process_id, parent_id, var_name, attr, old_value, new_value, "at" FROM changed")
+@query("j7_changes_in_calls", "WITH " + SHORT_SQL + "\nSELECT process_id, parent_id, var_name, attr, old_value, new_value, \"at\" FROM changed")
 def j7(spark, sf):
     return changed(spark, sf).select("process_id", "parent_id", "var_name", "attr", "old_value", "new_value", "at")
 
@@ -378,12 +378,12 @@ def i16(spark, sf):
 
 
 def lead_rules(spark, sf):
-    """Pairs A, B where B follows A more often than not."""
-    return i15(spark, sf).filter("positives > negatives").select(F.col("subject").alias("a"), F.col("other").alias("b"))
+    """Pairs A, B where B follows nearly half of the As or more."""
+    return i15(spark, sf).filter("positives * 2.1 > negatives + positives").select(F.col("subject").alias("a"), F.col("other").alias("b"))
 
 
 @query("i19_merged_chains", "WITH RECURSIVE " + order_sql(True) + """,
-edges AS (SELECT subject AS a, other AS b FROM examples GROUP BY ALL HAVING sum(polarity) > sum(1 - polarity) AND subject < other),
+edges AS (SELECT subject AS a, other AS b FROM examples GROUP BY ALL HAVING sum(polarity) * 2.1::DOUBLE > count(*) AND subject < other),
 paths AS (
   SELECT [a] AS path, a AS tip FROM (SELECT DISTINCT a FROM edges) WHERE a NOT IN (SELECT b FROM edges)
   UNION ALL
@@ -662,16 +662,16 @@ def f17(spark, sf):
 
 # --- preconditions -------------------------------------------------------------------
 
-FIELDS_SQL = order_sql(True) + """,
-rules AS (SELECT subject, other FROM examples GROUP BY ALL HAVING sum(polarity) >= 2),
+FIELDS_SQL = CALLS_SQL + """,
+judged AS (
+  SELECT split_part(function, '_', 1) AS hypothesis, call_id AS example, stage, k, step, process_id,
+    CAST(CASE WHEN function LIKE 'mod.view%' THEN stage = 'train' WHEN function LIKE 'mod.click%' THEN stage = 'train' OR k % 2 = 0
+      WHEN function LIKE 'mod.error%' THEN k % 2 = 1 AND k % 10 <> 9 ELSE value < 150 END AS INTEGER) AS polarity FROM base),
 fields AS (
-  SELECT subject || '>' || other AS hypothesis, polarity, e.call_id AS example, 0 AS record,
-    unnest(['meta_vars.stage', 'meta_vars.phase', 'attributes.k5', 'process_id']) AS field, unnest(['str', 'num', 'num', 'num']) AS kind,
-    unnest([stage, CAST(step % 2 AS VARCHAR), CAST(k % 5 AS VARCHAR), CAST(e.process_id AS VARCHAR)]) AS value
-  FROM examples e JOIN rules USING (subject, other) JOIN base USING (call_id)
+  SELECT hypothesis, polarity, example, unnest(['meta_vars.stage', 'meta_vars.phase', 'attributes.k5', 'process_id']) AS field,
+    unnest(['str', 'num', 'num', 'num']) AS kind, unnest([stage, CAST(step % 2 AS VARCHAR), CAST(k % 5 AS VARCHAR), CAST(process_id AS VARCHAR)]) AS value FROM judged
   UNION ALL
-  SELECT subject || '>' || other, polarity, e.call_id, 0, 'meta_vars.late', 'bool', CASE WHEN step % 3 = 0 THEN 'true' ELSE 'false' END
-  FROM examples e JOIN rules USING (subject, other) JOIN base USING (call_id) WHERE k % 10 <> 9),
+  SELECT hypothesis, polarity, example, 'attributes.even', 'bool', CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END FROM judged WHERE k % 10 <> 9),
 merged AS (
   SELECT hypothesis, field, 'constant' AS clause, value, n FROM (
     SELECT hypothesis, field, max(kind) AS kind, value, count(*) AS n, count(*) OVER (PARTITION BY hypothesis, field) AS width FROM fields
@@ -680,23 +680,27 @@ merged AS (
   SELECT hypothesis, field, 'consistent', NULL, count(*) FROM fields WHERE polarity = 1 GROUP BY hypothesis, field
   HAVING max(kind) <> 'bool' AND count(DISTINCT value) > CASE WHEN max(kind) = 'str' THEN 4 ELSE 1 END)"""
 
+# The trace is cut in two runs at this time.
+SPLIT_US = 1_705_363_200_000_000
 
-def example_fields(spark, sf, part=None):
-    """Lead examples of pairs with two positives or more, with the fields of their call."""
-    of = calls(spark, sf)
-    if part is not None:
-        of = of.filter(F.col("thread_id") % 2 == part)
-    examples = rel.order_examples(of, True, pool(spark, sf), keep=1_000_000)
-    context = of.select("call_id", "process_id", "step", "stage", "k", "start")
+
+def example_fields(spark, sf, run=None):
+    """Calls as examples for and against a rule about their function, with the fields of the call."""
+    name, k = F.col("function"), F.col("k")
+    holds = (F.when(name.startswith("mod.view"), F.col("stage") == "train")
+             .when(name.startswith("mod.click"), (F.col("stage") == "train") | (k % 2 == 0))
+             .when(name.startswith("mod.error"), (k % 2 == 1) & (k % 10 != 9)).otherwise(F.col("value") < 150))
     text = lambda c: c.cast("string")
     pairs = [("meta_vars.stage", "str", F.col("stage")), ("meta_vars.phase", "num", text(F.col("step") % 2)),
-             ("attributes.k5", "num", text(F.col("k") % 5)), ("process_id", "num", text(F.col("process_id"))),
-             ("meta_vars.late", "bool", F.when(F.col("k") % 10 != 9, F.when(F.col("step") % 3 == 0, "true").otherwise("false")))]
+             ("attributes.k5", "num", text(k % 5)), ("process_id", "num", text(F.col("process_id"))),
+             ("attributes.even", "bool", F.when(k % 10 != 9, F.when(k % 2 == 0, "true").otherwise("false")))]
     entries = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(kind).alias("kind"), v.alias("value")) for n, kind, v in pairs])
-    rows = examples.join(context, "call_id").select(
-        F.concat("subject", F.lit(">"), "other").alias("hypothesis"), "polarity", F.col("call_id").alias("example"),
-        F.lit(0).alias("record"), F.col("start").alias("time"), F.inline(entries)).filter("value is not null")
-    return pc.supported(rows)
+    rows = base_calls(spark, sf)
+    if run is not None:
+        rows = rows.filter((F.col("time") >= SPLIT_US) == bool(run))
+    return rows.select(
+        F.split_part("function", F.lit("_"), F.lit(1)).alias("hypothesis"), holds.cast("int").alias("polarity"),
+        F.col("call_id").alias("example"), F.lit(0).alias("record"), "time", F.inline(entries)).filter("value is not null")
 
 
 @query("i20_local_clauses", "WITH " + FIELDS_SQL + """
@@ -803,18 +807,10 @@ def p8_calls(spark, sf):
     return calls(spark, sf).filter(pc.matches_call("mod.error_1", "exception")).select("call_id", "start")
 
 
-@query("u5_hypotheses_of_all_traces", "WITH " + order_sql(True) + """
-SELECT subject, other, CAST(sum(polarity) AS BIGINT) AS positives, count(DISTINCT thread_id % 2) AS traces FROM examples GROUP BY ALL
-HAVING sum(polarity) >= 2""")
+@query("u5_hypotheses_of_all_traces", "WITH " + FIELDS_SQL + """
+SELECT hypothesis, count(DISTINCT example) AS examples, count(DISTINCT example) FILTER (polarity = 1) AS positives FROM fields GROUP BY ALL
+HAVING count(DISTINCT example) FILTER (polarity = 1) >= 2""")
 def u5(spark, sf):
-    # Threads of one trace never meet, so the two halves may be read as one union.
-    of, allowed = calls(spark, sf), pool(spark, sf)
-    kinds = rel.order_counts(of, True, allowed).select("subject", "other")
-    level, since = rel._order_hypotheses(of, True, allowed, rel.CHUNK, None)
-    beside = level.select(*tr.THREAD, F.col("function_a").alias("subject"), F.col("function_b").alias("other"))
-    subjects = beside.select(*tr.THREAD, "subject").distinct()
-    rows = since.withColumnRenamed("function", "subject").join(subjects, [*tr.THREAD, "subject"]).join(kinds, "subject")
-    rows = rows.join(beside.withColumn("_b", F.lit(1)), [*tr.THREAD, "subject", "other"], "left")
-    hit = (F.coalesce(F.col("_b"), F.lit(0)) == 1) & F.array_contains("since", F.col("other"))
-    per_trace = rows.groupBy("subject", "other", (F.col("thread_id") % 2).alias("trace")).agg(F.count_if(hit).alias("p"))
-    return per_trace.groupBy("subject", "other").agg(F.sum("p").alias("positives"), F.count("trace").alias("traces")).filter("positives >= 2")
+    both = example_fields(spark, sf, 0).unionByName(example_fields(spark, sf, 1), allowMissingColumns=True)
+    examples = pc.supported(both).select(*pc.KEY).distinct()
+    return examples.groupBy("hypothesis").agg(F.count(F.lit(1)).alias("examples"), F.sum("polarity").alias("positives"))
