@@ -1,6 +1,6 @@
 """Named queries over the given tables. Importing this package registers them all."""
 
-from tallyforge.plans import memory, rebuild, series, telemetry, trace  # noqa: F401
+from tallyforge.plans import memory, rebuild, series, telemetry, text, trace  # noqa: F401
 from tallyforge.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
