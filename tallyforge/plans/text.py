@@ -275,11 +275,18 @@ def f1(spark, sf):
         tx.time_ms(F.col("event_type")).alias("other_ms"))
 
 
-@query("f2_formatted_values", """
+def _half_even_sql(divisor: int, places: int, unit: str) -> str:
+    """x / divisor with ties to even, in whole numbers, as the text of a size or duration."""
+    scaled = f"(x::HUGEINT * {10 ** places})"
+    up = f"({scaled} % {divisor} * 2 > {divisor} OR ({scaled} % {divisor} * 2 = {divisor} AND {scaled} // {divisor} % 2 = 1))"
+    return f"printf('%.{places}f{unit}', CAST({scaled} // {divisor} + CAST({up} AS INTEGER) AS DOUBLE) / {10 ** places})"
+
+
+@query("f2_formatted_values", f"""
 WITH v AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * (o_orderkey % 4000 + 1) AS x FROM orders)
-SELECT o_orderkey, CASE WHEN x < 1024 THEN printf('%.0fB', x::DOUBLE) WHEN x < 1048576 THEN printf('%.2fKB', round_even(x / 1024::DOUBLE, 2))
-    WHEN x < 1073741824 THEN printf('%.2fMB', round_even(x / 1048576::DOUBLE, 2)) ELSE printf('%.2fGB', round_even(x / 1073741824::DOUBLE, 2)) END AS size,
-  CASE WHEN x < 1000 THEN printf('%.2fus', round_even(x::DOUBLE, 2)) WHEN x < 1000000 THEN printf('%.2fms', round_even(x / 1000::DOUBLE, 2)) ELSE printf('%.3fs', round_even(x / 1000000::DOUBLE, 3)) END AS duration FROM v""")
+SELECT o_orderkey, CASE WHEN x < 1024 THEN printf('%.0fB', x::DOUBLE) WHEN x < 1048576 THEN {_half_even_sql(1024, 2, 'KB')}
+    WHEN x < 1073741824 THEN {_half_even_sql(1048576, 2, 'MB')} ELSE {_half_even_sql(1073741824, 2, 'GB')} END AS size,
+  CASE WHEN x < 1000 THEN printf('%.2fus', x::DOUBLE) WHEN x < 1000000 THEN {_half_even_sql(1000, 2, 'ms')} ELSE {_half_even_sql(1000000, 3, 's')} END AS duration FROM v""")
 def f2(spark, sf):
     x = b.long_of("o_totalprice") * (F.col("o_orderkey") % 4000 + 1)
     return table(spark, sf, "orders").select("o_orderkey", tx.bytes_text(x).alias("size"), tx.duration_text(x).alias("duration"))
