@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.ordered import numbered
+from tallyforge.session import cut_lineage
 
 # Key endings that are not compared, and how far an edited line may differ.
 IGNORED_ENDINGS = ["_id", "time", "time_ns", "_millis", "_str", "idx"]
@@ -68,10 +69,10 @@ def matched_records(left: DataFrame, right: DataFrame, max_rows: int | None = No
             "_name": F.concat_ws("\x1e", "kind", F.coalesce(F.try_element_at("content", F.lit("function")), F.lit(""))),
         })
 
-    a, b = prepared(left), prepared(right)
+    a, b = cut_lineage(prepared(left)), cut_lineage(prepared(right))
     out = None
     for block in ("_exact", "_mask", "_name"):
-        found = _matched(a, b, block, max_rows)
+        found = cut_lineage(_matched(a, b, block, max_rows))
         out = found if out is None else out.unionByName(found)
         a = a.join(found.select(F.col("left_idx").alias("idx")), "idx", "left_anti")
         b = b.join(found.select(F.col("right_idx").alias("idx")), "idx", "left_anti")

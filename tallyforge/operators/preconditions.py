@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.relations import capped
@@ -59,22 +59,19 @@ def merged_clauses(local: DataFrame) -> DataFrame:
 
     Over four text constants, or over one other, become one consistent clause; flags stay.
     """
-    positive = local.filter(F.col("polarity") == 1)
-    constants = positive.filter("clause = 'constant'").groupBy("hypothesis", "field", "value").agg(
+    tally = local.filter(F.col("polarity") == 1).groupBy("hypothesis", "field", "clause", "value").agg(
         F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
-    width = constants.groupBy("hypothesis", "field").agg(F.count(F.lit(1)).alias("_values"))
+    field = Window.partitionBy("hypothesis", "field")
     limit = F.when(F.col("kind") == "str", STRING_CONSTANTS).otherwise(OTHER_CONSTANTS)
-    many = (F.col("_values") > limit) & (F.col("kind") != "bool")
-    judged = constants.join(width, ["hypothesis", "field"]).withColumn("_many", many)
-    kept = judged.filter(~F.col("_many")).select("hypothesis", "field", F.lit("constant").alias("clause"), "value", "n")
-    consistent = judged.filter("_many").groupBy("hypothesis", "field").agg(F.sum("n").alias("n")).select(
-        "hypothesis", "field", F.lit("consistent").alias("clause"), F.lit(None).cast("string").alias("value"), "n")
-    unequal = positive.filter("clause = 'unequal'").groupBy("hypothesis", "field").agg(F.count(F.lit(1)).alias("n")).select(
-        "hypothesis", "field", F.lit("unequal").alias("clause"), F.lit(None).cast("string").alias("value"), "n")
-    exists = positive.filter(F.col("field").startswith(CONTEXT_PREFIX)).groupBy("hypothesis", "field").agg(
-        F.count(F.lit(1)).alias("n")).select(
-        "hypothesis", "field", F.lit("exist").alias("clause"), F.lit(None).cast("string").alias("value"), "n")
-    return kept.unionByName(consistent).unionByName(unequal).unionByName(exists)
+    constant = F.col("clause") == "constant"
+    many = constant & (F.count(F.when(constant, 1)).over(field) > limit) & (F.col("kind") != "bool")
+    judged = tally.withColumn("_many", many)
+    own = F.when(F.col("_many"), F.struct(F.lit("consistent").alias("clause"), F.lit(None).cast("string").alias("value"))).when(
+        F.col("clause") != "mixed", F.struct("clause", "value"))
+    exist = F.when(F.col("field").startswith(CONTEXT_PREFIX), F.struct(
+        F.lit("exist").alias("clause"), F.lit(None).cast("string").alias("value")))
+    return judged.select("hypothesis", "field", "n", F.inline(F.array_compact(F.array(own, exist)))).groupBy(
+        "hypothesis", "field", "clause", "value").agg(F.sum("n").alias("n"))
 
 
 def clause_holds(clause: Column, values: Column, local_clause: Column, local_value: Column, single: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,30 +54,31 @@ def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | Non
     """
     placed = tr.positions(pre_records, max_rows, backwards).withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
     keys = [*tr.THREAD, "chunk"]
-    # New column names keep the two sides apart, as both come from the same rows.
-    carried = _recent_at_chunk_start(placed).select(
-        *[F.col(k).alias(f"before_{k}") for k in keys], F.col("function").alias("before"), "at")
-    rows = placed.select(*keys, "pos", "call_id", "function")
+    rows = placed.select(*keys, "pos", "call_id", "function", F.lit(1).alias("_kind"))
+    border = _recent_at_chunk_start(placed).select(
+        *keys, F.col("at").alias("pos"), F.lit(None).cast("string").alias("call_id"), "function", F.lit(0).alias("_kind"))
+    # Light in bytes but heavy to compute, so spread over all partitions; a task walks its
+    # threads one after the other and holds no more than the functions of one.
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = rows.unionByName(border).repartition(parts, *keys).sortWithinPartitions(*keys, "_kind", "pos")
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in rows.columns) + ", since array<string>"
-
-    def one(part: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        recent = list(before.sort_values("at", ascending=False)["before"])
-        part = part.sort_values("pos")
-        since = []
-        for name in part["function"]:
-            place = recent.index(name) if name in recent else len(recent)
-            since.append(recent[:place])
-            if place < len(recent):
-                del recent[place]
-            recent.insert(0, name)
-        return part.assign(since=since)
-
-    # Groups are small in bytes but heavy to compute, so they are spread over all partitions.
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    borders = [f"before_{k}" for k in keys]
-    return rows.repartition(parts, *keys).groupBy(*keys).cogroup(
-        carried.repartition(parts, *borders).groupBy(*borders)).applyInPandas(one, schema)
+    out = [*keys, "pos", "call_id", "function"]
+
+    def walk(batches):
+        group, recent = None, []
+        for part in batches:
+            since = []
+            for *key, name in zip(*(part[k] for k in keys), part["function"]):
+                if key != group:
+                    group, recent = key, []
+                place = recent.index(name) if name in recent else len(recent)
+                since.append(recent[:place])
+                if place < len(recent):
+                    del recent[place]
+                recent.insert(0, name)
+            yield part[out].assign(since=since)[part["_kind"].to_numpy() == 1]
+
+    return walked.mapInPandas(walk, ", ".join(f"{c} {types[c]}" for c in out) + ", since array<string>")
 
 
 def _order_hypotheses(calls: DataFrame, follows: bool, pool: DataFrame | None, chunk: int,
@@ -86,7 +86,8 @@ def _order_hypotheses(calls: DataFrame, follows: bool, pool: DataFrame | None, c
     """(pairs per thread with their level, matched pairs per call) for cover or lead."""
     if pool is not None:
         calls = calls.join(pool, "function", "left_semi")
-    level = tr.same_level_pairs(calls)
+    # One row per thread and function; written once, as the pairs are used several times.
+    level = tr.level_pairs(cut_lineage(tr.function_edges(calls)))
     # Looking ahead is looking back from the end of the thread.
     since = called_since(calls.withColumn("time", F.col("start")), chunk, max_rows, backwards=follows)
     return level, since
@@ -105,7 +106,7 @@ def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None,
     subject, other = ("function_a", "function_b") if follows else ("function_b", "function_a")
     beside = level.select(*tr.THREAD, F.col(subject).alias("subject"), F.col(other).alias("other")).distinct()
     pairs = beside.select("subject", "other").distinct()
-    counted = since.groupBy(*tr.THREAD, F.col("function").alias("subject")).agg(F.count(F.lit(1)).alias("_calls"))
+    counted = calls.groupBy(*tr.THREAD, F.col("function").alias("subject")).agg(F.count(F.lit(1)).alias("_calls"))
     # One row per matched call and partner, added up before the shuffle.
     matched = (
         since.select(*tr.THREAD, F.col("function").alias("subject"), F.explode("since").alias("other"))

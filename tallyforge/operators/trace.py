@@ -149,9 +149,18 @@ def same_level_pairs(calls_: DataFrame) -> DataFrame:
     Two such calls exist exactly when one function's last start is after the other's first
     end, so a thread needs one row per function.
     """
-    edge = calls_.groupBy(*THREAD, "function").agg(F.max("start").alias("last_start"), F.min("end").alias("first_end"))
-    a, b = (edge.select(*THREAD, F.col("function").alias(f"function_{n}"), F.col("last_start").alias(f"s_{n}"),
-                        F.col("first_end").alias(f"e_{n}")) for n in ("a", "b"))
+    return level_pairs(function_edges(calls_))
+
+
+def function_edges(calls_: DataFrame) -> DataFrame:
+    """Last start and first end of each function on each thread."""
+    return calls_.groupBy(*THREAD, "function").agg(F.max("start").alias("last_start"), F.min("end").alias("first_end"))
+
+
+def level_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs of functions of a thread that are not always nested, from their edges."""
+    a, b = (edges.select(*THREAD, F.col("function").alias(f"function_{n}"), F.col("last_start").alias(f"s_{n}"),
+                         F.col("first_end").alias(f"e_{n}")) for n in ("a", "b"))
     apart = (F.col("s_a") > F.col("e_b")) | (F.col("s_b") > F.col("e_a"))
     return a.join(b, THREAD).filter((F.col("function_a") != F.col("function_b")) & apart).select(
         *THREAD, "function_a", "function_b")

@@ -139,7 +139,7 @@ def test_precondition_splits_the_positives(spark, rows):
 
 def test_precondition_kinds(spark, rows):
     two = lambda a, b: [{"process_id": ("num", a)}, {"process_id": ("num", b)}]
-    local = pc.local_clauses(fields(spark, [(1, "x", two("1", "2")), (1, "y", two("3", "3")), (1, "z", [{"process_id": ("num", "1")}, {}])]))
+    local = pc.local_clauses(fields(spark, [(1, "x", two("1", "2")), (1, "y", two("3", "3")), (1, "z", [{"process_id": ("num", "1")}, {"function": ("str", "f")}])]))
     assert rows(local, "example", "clause") == [("x", "unequal"), ("y", "constant")]
 
 
