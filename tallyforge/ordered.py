@@ -25,7 +25,9 @@ MAX_HOT_KEYS = 1024
 
 
 def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the tables read. The estimate of the plan itself multiplies the sides of a join."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame | None:

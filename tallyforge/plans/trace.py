@@ -783,13 +783,14 @@ def a28(spark, sf):
 
 
 @query("a27_invariants_per_relation", "WITH " + order_sql(True) + """,
-lead AS (SELECT subject, other FROM examples GROUP BY ALL HAVING sum(polarity) > sum(1 - polarity)),
 g AS (SELECT function, step, args, count(*) AS n FROM base GROUP BY ALL),
 s AS (SELECT function, step, sum(n) AS al, sum(n * (n - 1) / 2) AS same FROM g GROUP BY ALL),
-d AS (SELECT function FROM s GROUP BY ALL HAVING sum(al * (al - 1) / 2 - same) > sum(same))
-SELECT 'lead' AS relation, count(*) AS invariants FROM lead UNION ALL SELECT 'distinct_arguments', count(*) FROM d""")
+rules AS (
+  SELECT 'lead' AS relation FROM examples GROUP BY subject, other HAVING sum(polarity) * 2.1::DOUBLE > count(*)
+  UNION ALL SELECT 'distinct_arguments' FROM s GROUP BY function HAVING sum(al * (al - 1) / 2 - same) > sum(same))
+SELECT relation, count(*) AS invariants FROM rules GROUP BY ALL""")
 def a27(spark, sf):
-    lead = i15(spark, sf).filter("positives > negatives").select(F.lit("lead").alias("relation"))
+    lead = lead_rules(spark, sf).select(F.lit("lead").alias("relation"))
     distinct = i17(spark, sf).filter("positives > negatives").select(F.lit("distinct_arguments").alias("relation"))
     return pc.relation_sizes(lead.unionByName(distinct))
 
