@@ -1,7 +1,8 @@
 """Stateful stream operators: pending calls, window scores, adaptive thresholds.
 
-State is kept per key and dropped after ``timeout`` without rows. Rows of one key are
-taken in the order of ``t`` within a micro-batch.
+State is kept per key and dropped after ``timeout_ms`` without rows, or kept for good when
+that is None. A timeout keeps the stream running batches, so a run that should end by itself
+(``availableNow``) takes None. Rows of one key are taken in the order of ``t`` within a batch.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ TIMEOUT_MS = 3_600_000
 WINDOW = 60
 
 
+def _kind(timeout_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["t", "seq"])
 
 
-def paired_calls(events: DataFrame, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+def paired_calls(events: DataFrame, timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """Exits with the pending enter of their (tgid, pid, cookie) on a stream.
 
     Rows: tgid, pid, cookie, is_enter, function_name, t, seq.
@@ -46,16 +51,17 @@ def paired_calls(events: DataFrame, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
                 state.remove()
         else:
             state.update((int(pending[0]), pending[1]))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["tgid", "pid", "cookie", "function_name", "start_t", "t", "duration"])
 
     return events.groupBy("tgid", "pid", "cookie").applyInPandasWithState(
         step, "tgid long, pid long, cookie long, function_name string, start_t long, t long, duration long",
-        "start_t long, function_name string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        "start_t long, function_name string", "append", _kind(timeout_ms))
 
 
 def window_scores(points: DataFrame, window: int = WINDOW, draws: int = 40, size: int = 20,
-                  timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+                  timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """Outlier scores of every full count window of a series on a stream.
 
     Rows fill a window of ``window`` points; a full one is scored against itself and the
@@ -76,15 +82,16 @@ def window_scores(points: DataFrame, window: int = WINDOW, draws: int = 40, size
                 out += [(key[0], t, number, float(s)) for (t, _), s in zip(held, scores)]
                 before, held, number = [x for _, x in held], [], number + 1
         state.update((pickle.dumps((number, before, held)),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["series", "t", "k", "score"])
 
     return points.groupBy("series").applyInPandasWithState(
-        step, "series string, t long, k long, score double", "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, "series string, t long, k long, score double", "held binary", "append", _kind(timeout_ms))
 
 
 def adaptive_threshold(scores: DataFrame, calibration: int = 1200, risk: float = 1e-4, level: float = 0.98,
-                       timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+                       timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """Threshold and label of each score of a stream, after the points used to calibrate.
 
     Rows: series, t, seq, score.
@@ -104,9 +111,10 @@ def adaptive_threshold(scores: DataFrame, calibration: int = 1200, risk: float =
             limit, _, alarm = spot.step(row.score)
             out.append((key[0], row.t, row.score, limit, int(alarm)))
         state.update((pickle.dumps((spot, first)),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["series", "t", "score", "threshold", "label"])
 
     return scores.groupBy("series").applyInPandasWithState(
         step, "series string, t long, score double, threshold double, label int", "held binary", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _kind(timeout_ms))

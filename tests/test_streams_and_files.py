@@ -24,7 +24,7 @@ def test_paired_calls_equal_the_batch(spark, rows, tmp_path):
     rng = np.random.default_rng(0)
     data = [(int(k), 1, 0, bool(rng.random() < 0.5), "f", i, i) for i, k in enumerate(rng.integers(0, 5, 200))]
     df = spark.createDataFrame(data, "tgid long, pid long, cookie long, is_enter boolean, function_name string, t long, seq long")
-    live = drained(stateful.paired_calls(stream(spark, df, str(tmp_path / "in"))), "pairs", str(tmp_path / "cp"))
+    live = drained(stateful.paired_calls(stream(spark, df, str(tmp_path / "in")), timeout_ms=None), "pairs", str(tmp_path / "cp"))
     batch = pairing.pair_latest(df, ["tgid", "pid", "cookie"], keep=["function_name"])
     assert rows(live, "tgid", "start_t", "t", "duration") == rows(batch, "tgid", "start_t", "t", "duration")
 
@@ -33,10 +33,10 @@ def test_thresholds_and_windows_on_a_stream(spark, tmp_path):
     values = np.random.default_rng(1).normal(size=300)
     df = spark.createDataFrame([("s", i, i, float(v), [float(v)]) for i, v in enumerate(values)], "series string, t long, seq long, score double, x array<double>")
     src = stream(spark, df, str(tmp_path / "in"))
-    got = drained(stateful.adaptive_threshold(src.drop("x"), 100, 1e-2, 0.9), "spot", str(tmp_path / "a")).orderBy("t").collect()
+    got = drained(stateful.adaptive_threshold(src.drop("x"), 100, 1e-2, 0.9, timeout_ms=None), "spot", str(tmp_path / "a")).orderBy("t").collect()
     spot = tails.Spot(values[:100], 1e-2, 0.9)
     np.testing.assert_allclose([r.threshold for r in got], [spot.step(v)[0] for v in values[100:]])
-    scored = drained(stateful.window_scores(src.select("series", "t", "seq", "x"), 60), "windows", str(tmp_path / "b"))
+    scored = drained(stateful.window_scores(src.select("series", "t", "seq", "x"), 60, timeout_ms=None), "windows", str(tmp_path / "b"))
     assert scored.count() == 300 and scored.select("k").distinct().count() == 5
 
 
