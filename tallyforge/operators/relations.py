@@ -155,7 +155,7 @@ def merged_chains(pairs: DataFrame) -> DataFrame:
     A chain starts where nothing leads in and is kept where nothing leads on. Pairs are
     per precondition; each round lengthens the chains by one function.
     """
-    edges = pairs.select("a", "b").distinct()
+    edges = cut_lineage(pairs.select("a", "b").distinct())
     into = edges.groupBy(F.col("b").alias("_node")).agg(F.collect_set("a").alias("_into"))
     sources = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
     sinks = edges.select(F.col("b").alias("last")).distinct().join(edges.select(F.col("a").alias("last")).distinct(), "last", "left_anti")
