@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, exact_dedup, sharding, token_counts, url_filter
+from tallyforge.llm import byte_bpe, exact_dedup, language, sharding, token_counts, url_filter
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,15 @@ from d window g as (partition by body)
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3))
+    model = language.train(docs.where(fold != 1), PIECES)
+    held_out = (fold == 1).alias("held_out")
+    predicted = language.predict(docs.select("doc_id", "text"), model, carry=[F.col("doc_id"), held_out])
+    return predicted.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -76,5 +86,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_token_counts, op7_sharding, op8_url_filter, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_token_counts, op7_sharding, op8_url_filter, op9_byte_bpe)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
