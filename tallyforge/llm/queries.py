@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, exact_dedup, language, sharding, token_counts, url_filter
+from tallyforge.llm import byte_bpe, exact_dedup, language, minhash_dedup, sharding, token_counts, url_filter
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -86,5 +86,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_token_counts, op7_sharding, op8_url_filter, op9_byte_bpe)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(_table(spark, sf_dir, "documents"), words=4, similarity=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_token_counts, op7_sharding, op8_url_filter, op9_byte_bpe,
+                                  op10_minhash_dedup)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
