@@ -12,7 +12,7 @@ spreads over many tasks, and only one total for each range is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -21,7 +21,7 @@ from tallyforge.llm.common import parts, work_folder, written
 TRIES = 64
 
 
-def numbered(rows: DataFrame, order: list[str], size: str, folder: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str] | list[Column], size: str, folder: str) -> DataFrame:
     """`rows` with row_at (from 1) and size_at: running count and running `size` over the whole order.
 
     Rows equal in all of `order` take any turn among themselves. The broadcast side has one row for
