@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, exact_dedup, fingerprints, language, minhash_dedup, sharding, token_counts, url_filter
+from tallyforge.llm import byte_bpe, exact_dedup, fingerprints, language, minhash_dedup, sharding, suffix_dedup, token_counts, url_filter
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -45,6 +45,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
@@ -97,6 +102,6 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_token_counts, op6_fingerprints, op7_sharding, op8_url_filter, op9_byte_bpe,
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding, op8_url_filter, op9_byte_bpe,
                                   op10_minhash_dedup)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
