@@ -159,6 +159,12 @@ class Vocabulary:
         return self.flat[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)]
 
 
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+        """The bytes of each row, whose ids lie between successive `ends`."""
+        stops = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(stops), pa.py_buffer(self.decode(ids))])
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
@@ -180,24 +186,30 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     return [first[head] + b"".join(map(after.__getitem__, rest)) for head, rest in zip(heads, pieces, strict=True)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`docs` with the token ids of its text (array<int>) under `ids`, which replaces a column of that name.
 
     Null text counts as empty: no ids. Repeated rows keep a row each, an empty table gives no rows, texts of any
-    length are encoded whole, and other columns pass through unchanged.
+    length are encoded whole, and other columns pass through unchanged. With a name in `decoded` the ids are
+    decoded in the same pass, into a binary column of that name.
     """
-    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("body"), F.struct(*[docs[c] for c in docs.columns if c != ids]).alias("row"))
-    schema = f"ids array<int>, row {rows.schema['row'].dataType.simpleString()}"
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
+    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("body"), F.struct(*[docs[c] for c in kept]).alias("row"))
+    schema = f"ids array<int>, decoded binary, row {rows.schema['row'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path, pattern)
         for part in slices(batches, 0):
             encoded = encode_texts(part.column(0).to_pylist(), path, pattern)
-            ends = np.cumsum([0, *[len(e) // 4 for e in encoded]]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(encoded), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, flat), part.column(1)], ["ids", "row"])
+            flat = np.frombuffer(b"".join(encoded), np.int32)
+            ends = np.cumsum([0, *[len(e) // 4 for e in encoded]])
+            back = words.decode_rows(flat, ends) if decoded else pa.nulls(len(encoded), pa.binary())
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([lists, back, part.column(1)], ["ids", "decoded", "row"])
 
-    kept = [c for c in docs.columns if c != ids]
-    return rows.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(ids))
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(ids),
+                      *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -217,9 +229,7 @@ def decode(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids", decode
                 lists = part.column(0)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(words.sizes[flat])])[np.concatenate([[0], np.cumsum(sizes)])]
-                body = words.decode(flat).tobytes()
-                out = pa.array([body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                out = words.decode_rows(flat, np.concatenate([[0], np.cumsum(sizes)]))
                 yield pa.RecordBatch.from_arrays([out, part.column(1)], ["decoded", "row"])
 
     return rows.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("decoded").alias(decoded))

@@ -10,8 +10,8 @@ import pyarrow.compute  # noqa: F401
 
 _RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-SLICE_BYTES = 8_000_000
-MEMO_ENTRIES = 400_000
+SLICE_BYTES = 4_000_000
+MEMO_ENTRIES = 250_000
 MEMO_CHARS = 200
 
 

@@ -90,8 +90,7 @@ from j
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), TIKTOKEN, PATTERN).select("doc_id", "ids")
-    both = byte_bpe.decode(encoded, TIKTOKEN, PATTERN)
+    both = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), TIKTOKEN, PATTERN, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -102,6 +101,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding, op8_url_filter, op9_byte_bpe,
-                                  op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_language_id, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding,
+    op8_url_filter, op9_byte_bpe, op10_minhash_dedup)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
