@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, exact_dedup, fingerprints, language, minhash_dedup, sharding, suffix_dedup, token_counts, url_filter
+from tallyforge.llm import byte_bpe, exact_dedup, fingerprints, language, minhash_dedup, mixing, sharding, suffix_dedup, token_counts, url_filter
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -41,6 +41,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    shares = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
+    return rated.select(F.col("id").alias("doc_id"), "n_tokens", *shares, "rate", "copies")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -102,6 +108,6 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_language_id, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding,
+    op1_exact_dedup, op2_language_id, op3_mixing, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding,
     op8_url_filter, op9_byte_bpe, op10_minhash_dedup)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
