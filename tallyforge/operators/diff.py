@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.ordered import numbered
@@ -114,22 +114,44 @@ def edit_patterns(diff: DataFrame) -> DataFrame:
 def line_patterns(lines: DataFrame, keys: int = PATTERN_KEYS) -> DataFrame:
     """Masked contents of deleted or inserted lines, grouped when at most ``keys`` keys differ.
 
-    ``lines`` has idx, content. Distinct masked contents are compared, and only those that
-    agree on one of ``keys`` + 1 parts of their entries: with at most ``keys`` differing
-    keys some part must be equal. Each content joins the first content it is near to.
+    ``lines`` has idx, content. Distinct masked contents are compared, and only those that share one of their
+    ``keys`` + 1 rarest entries: contents with at most ``keys`` differing keys share all others, so if they
+    share any, they share one of these. Contents of at most ``keys`` keys may share none and meet each other.
+
+    Contents are taken by first line: one that is in no group yet leads a group of all later contents near
+    to it that are in none. Each round settles every content whose earlier near contents are settled.
     """
     mask = F.transform_values(compared(F.col("content")), lambda _, v: masked(v))
     distinct = lines.withColumn("content", mask).withColumn("pattern", content_text(F.col("content"))).groupBy("pattern").agg(
-        F.first("content").alias("content"), F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("times"))
-    parts = distinct.withColumn("_part", F.explode(F.array(*[F.lit(i) for i in range(keys + 1)])))
-    piece = F.map_filter("content", lambda k, _: F.pmod(F.xxhash64(k), F.lit(keys + 1)) == F.col("_part"))
-    parts = parts.withColumn("_piece", F.xxhash64("_part", content_text(piece)))
-    a = parts.select("pattern", "content", "first_idx", "_piece")
+        F.min_by("content", F.struct("idx", content_text(F.col("content")))).alias("content"), F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("times"))
+    entry = F.explode(F.transform(F.map_entries("content"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")))))
+    entries = distinct.select("pattern", entry.alias("_piece"))
+    counts = entries.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = Window.partitionBy("pattern").orderBy("_n", "_piece")
+    pieces = entries.join(counts, "_piece").withColumn("_rn", F.row_number().over(rarest)).filter(F.col("_rn") <= keys + 1)
+    pieces = pieces.filter("_n > 1").select("pattern", "_piece").unionByName(
+        distinct.filter(F.size("content") <= keys).select("pattern", F.lit("").alias("_piece")))
+    parts = cut_lineage(distinct.join(pieces, "pattern").select("pattern", "content", "first_idx", "_piece"))
+    a = parts
     b = parts.select(F.col("pattern").alias("_p"), F.col("content").alias("_c"), F.col("first_idx").alias("_i"), "_piece")
     near = a.join(b, "_piece").filter(
-        (F.col("_i") < F.col("first_idx")) & (F.size(differing_keys(F.col("content"), F.col("_c"))) <= keys))
-    leader = near.groupBy("pattern").agg(F.min_by("_p", "_i").alias("leader"))
-    return distinct.join(leader, "pattern", "left").groupBy(F.coalesce("leader", "pattern").alias("pattern")).agg(
+        (F.struct("_i", "_p") < F.struct("first_idx", "pattern")) & (F.size(differing_keys(F.col("content"), F.col("_c"))) <= keys))
+    near = cut_lineage(near.select("pattern", F.col("_p").alias("before"), F.struct("_i", "_p").alias("at")).distinct())
+    later = near.select("pattern").distinct()
+    settled = cut_lineage(distinct.select("pattern").join(later, "pattern", "left_anti").withColumn("leader", F.col("pattern")))
+    while True:
+        known = settled.select(F.col("pattern").alias("before"), "leader")
+        waiting = near.join(settled, "pattern", "left_anti").join(known, "before", "left")
+        leads = F.col("leader") == F.col("before")
+        judged = waiting.groupBy("pattern").agg(
+            F.min(F.when(leads, F.col("at"))).alias("first"), F.min(F.when(F.col("leader").isNull(), F.col("at"))).alias("open"))
+        # a content joins the first leader before it once nothing still open could come first
+        sure = judged.filter("open is null or first < open").select("pattern", F.coalesce("first._p", "pattern").alias("leader"))
+        sure = cut_lineage(sure)
+        if sure.isEmpty():
+            break
+        settled = cut_lineage(settled.unionByName(sure))
+    return distinct.join(settled, "pattern", "left").groupBy(F.coalesce("leader", "pattern").alias("pattern")).agg(
         F.sum("times").alias("times"), F.count(F.lit(1)).alias("variants"))
 
 

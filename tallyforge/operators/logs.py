@@ -37,6 +37,7 @@ ANOMALY_PATTERNS = {
     "data_issues": [r"empty.*batch|batch.*size.*0", r"data.*corruption|corrupt.*data", r"missing.*files|file.*not.*found", r"invalid.*data|data.*invalid"],
     "model_issues": [r"failed.*load.*model|model.*loading.*failed", r"checkpoint.*not.*found|missing.*checkpoint",
                      r"model.*format.*error|invalid.*model", r"version.*mismatch|incompatible.*version"],
+    "performance_issues": [r"timeout|time.*out", r"slow.*training|training.*slow", r"low.*throughput|throughput.*low", r"high.*latency|latency.*high"],
 }
 LIMITS = {
     "loss": (0.0, 100.0), "accuracy": (0.0, 1.0), "learning_rate": (1e-8, 1.0), "gpu_memory": (None, 95.0),
@@ -46,6 +47,7 @@ FINITE_METRICS = ["loss", "gradient_norm"]
 ADVICE = {
     "memory_issues": "check_hardware", "gpu_errors": "check_hardware", "training_instability": "adjust_hyperparameters",
     "convergence_issues": "adjust_hyperparameters", "data_issues": "check_data", "model_issues": "check_model_files",
+    "performance_issues": "improve_performance",
 }
 LINE_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?"
 

@@ -25,8 +25,6 @@ DRAWS, DRAW_SIZE = 40, 20
 SAMPLE_RATE, SCALE, RHO, SIGMA = 0.4, 5, 0.1, 0.5
 GROUP_THRESHOLD = 0.01
 DMD_WINDOW, DMD_STRIDE, DMD_LAG, DMD_SMOOTHING = 3600, 14, 288, 18
-# Points of one series that get a threshold from one calibration.
-EPOCH = 100_000
 CALIBRATION = 1200
 
 
@@ -357,23 +355,46 @@ def compression_quality(kept: DataFrame, max_rows: int | None = None) -> DataFra
 # --- adaptive thresholds -------------------------------------------------------------
 
 def adaptive_threshold(scores: DataFrame, risk: float = 1e-4, level: float = 0.98, calibration: int = CALIBRATION,
-                       depth: int = 0, both: bool = False, epoch: int = EPOCH) -> DataFrame:
+                       depth: int = 0, both: bool = False) -> DataFrame:
     """Scores with upper (and lower) threshold and label by extreme-value theory.
 
-    ``depth`` follows drift, ``both`` watches both sides. The threshold steps from point
-    to point, so a series is cut into epochs of ``epoch`` points, each calibrated on its
-    own first points; a series of up to one epoch is one run.
+    ``depth`` follows drift, ``both`` watches both sides. The threshold steps from point to point, so a series of any
+    length is one run: its rows come sorted and in batches, and only the state of the run and the points that
+    calibrate it are held. Labels do not depend on how long the series is.
     """
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        values = pdf["score"].to_numpy(float)
-        spot = tails.Spot(values[:calibration], risk, level, min(depth, max(1, len(values[:calibration]) // 2)) if depth else 0, both)
-        rows = [spot.step(v) for v in values]
-        return pd.DataFrame({
-            "series": pdf["series"].to_numpy(), "t": pdf["t"].to_numpy(), "score": values,
-            "threshold": [r[0] for r in rows], "lower": [r[1] for r in rows],
-            "label": np.array([int(r[2]) for r in rows], dtype="int32")})
-
-    cut = scores.select("series", "t", "score", F.floor(F.col("t") / epoch).alias("epoch"))
-    return _spread(cut, "series", "epoch").groupBy("series", "epoch").applyInPandas(
-        one, "series string, t long, score double, threshold double, lower double, label int")
+    columns = "series string, t long, score double, threshold double, lower double, label int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, spot, first = None, None, []
+
+        def stepped(rows: list[tuple]) -> pd.DataFrame:
+            steps = [spot.step(score) for _, _, score in rows]
+            return pd.DataFrame({
+                "series": [r[0] for r in rows], "t": [r[1] for r in rows], "score": [r[2] for r in rows],
+                "threshold": [x[0] for x in steps], "lower": [x[1] for x in steps],
+                "label": np.array([int(x[2]) for x in steps], dtype="int32")})
+
+        def started(rows: list[tuple]) -> tails.Spot:
+            values = np.array([r[2] for r in rows], float)
+            return tails.Spot(values, risk, level, min(depth, max(1, len(values) // 2)) if depth else 0, both)
+
+        for batch in batches:
+            for name, part in batch.groupby("series", sort=False, dropna=False):
+                if name != series:
+                    if first:  # the series before was shorter than a calibration
+                        spot = started(first)
+                        yield stepped(first)
+                    series, spot, first = name, None, []
+                rows = list(zip(part["series"], part["t"], part["score"].astype(float), strict=True))
+                if spot is None:
+                    first += rows
+                    if len(first) < calibration:
+                        continue
+                    spot, rows, first = started(first[:calibration]), first, []
+                yield stepped(rows)
+        if first:
+            spot = started(first)
+            yield stepped(first)
+
+    ordered = _spread(scores.select("series", "t", "score"), "series").sortWithinPartitions("series", "t")
+    return ordered.mapInPandas(run, columns)

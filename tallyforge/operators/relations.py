@@ -366,6 +366,12 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def _pairs_of(count: str) -> Column:
+    """Number of pairs among so many, in whole numbers: one of n and n - 1 is halved before they are multiplied."""
+    n = F.col(count)
+    return F.when(n % 2 == 0, F.expr(f"{count} div 2") * (n - 1)).otherwise(n * F.expr(f"({count} - 1) div 2"))
+
+
 def distinct_argument_counts(calls: DataFrame) -> DataFrame:
     """Pairs of calls of a function in a step with different and with equal arguments.
 
@@ -374,8 +380,8 @@ def distinct_argument_counts(calls: DataFrame) -> DataFrame:
     """
     groups = calls.groupBy("function", "step", "args").agg(F.count(F.lit(1)).alias("_n"))
     steps = groups.groupBy("function", "step").agg(
-        F.sum("_n").alias("_all"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("_same"))
-    pairs = (F.col("_all") * (F.col("_all") - 1) / 2).cast("long")
+        F.sum("_n").alias("_all"), F.sum(_pairs_of("_n")).alias("_same"))
+    pairs = _pairs_of("_all")
     return steps.groupBy("function").agg(
         F.sum(pairs - F.col("_same")).alias("positives"), F.sum("_same").alias("negatives")).filter("positives > 0")
 
@@ -387,10 +393,10 @@ def list_argument_counts(calls: DataFrame, limit: float = IOU_LIMIT) -> DataFram
     Equal lists are alike unless empty, whose IOU is zero.
     """
     groups = calls.groupBy("function", "step", F.array_sort(F.array_distinct("args")).alias("items")).agg(
-        F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("items"))
+        F.count(F.lit(1)).alias("n")).withColumn("id", F.col("items"))
     totals = groups.groupBy("function", "step").agg(F.sum("n").alias("_all"))
     same = groups.filter(F.size("items") > 0).groupBy("function", "step").agg(
-        F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("_same"))
+        F.sum(_pairs_of("n")).alias("_same"))
     single = groups.select("function", "step", "id", "n", F.size("items").alias("size"), F.explode("items").alias("item"))
     a, b = (single.select("function", "step", "item", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"),
                           F.col("size").alias(f"size_{s}")) for s in "ab")
@@ -402,7 +408,7 @@ def list_argument_counts(calls: DataFrame, limit: float = IOU_LIMIT) -> DataFram
         "function", "step").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("_alike"))
     steps = totals.join(same, ["function", "step"], "left").join(alike, ["function", "step"], "left").fillna(0)
     negatives = F.col("_same") + F.col("_alike")
-    pairs = (F.col("_all") * (F.col("_all") - 1) / 2).cast("long")
+    pairs = _pairs_of("_all")
     return steps.groupBy("function").agg(
         F.sum(pairs - negatives).alias("positives"), F.sum(negatives).alias("negatives")).filter("positives > 0")
 

@@ -18,34 +18,16 @@ from tallyforge.session import cut_lineage
 
 # Rows of one key that one task may hold.
 MAX_ROWS = 4_000_000
-# Inputs estimated below this size fit one task whole, so no key can be too big.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
-# At most this many keys are split. The others each hold under 1/1024 of the rows.
-MAX_HOT_KEYS = 1024
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """Size of the tables read. The estimate of the plan itself multiplies the sides of a join."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame | None:
     """The keys with more than ``max_rows`` rows and their counts, or None when there are none.
 
-    Without an explicit ``max_rows`` a small input is not measured at all.
+    Every input is counted, by one aggregation with partial counts in each task; every key over the
+    limit is split. At most one key for each ``max_rows`` rows of the input can be.
     """
-    if max_rows is None and _estimated_bytes(df) <= SMALL_INPUT_BYTES:
-        return None
-    counted = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > (max_rows or MAX_ROWS))
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = counted.collect()
-    return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > (max_rows or MAX_ROWS))
+    return None if counted.isEmpty() else cut_lineage(counted)
 
 
 def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
@@ -53,8 +35,8 @@ def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
 
 
 def _split_off(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of hot keys); ``hot`` has at most MAX_HOT_KEYS rows."""
-    small = F.broadcast(hot.select(*keys))
+    """(rows of ordinary keys, rows of hot keys). Spark broadcasts the hot keys if they turn out to be few."""
+    small = hot.select(*keys)
     on = _same(df, small, keys)
     return df.join(small, on, "left_anti"), df.join(small, on, "left_semi")
 
@@ -130,7 +112,7 @@ def _join_slots(rows: DataFrame, per_slot: DataFrame, keys: Sequence[str]) -> Da
     side = per_slot.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_slot").alias("_k_slot"),
                            *[c for c in per_slot.columns if c not in (*keys, "_slot")])
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    joined = rows.join(F.broadcast(side), on & (F.col("_slot") == F.col("_k_slot")))
+    joined = rows.join(side, on & (F.col("_slot") == F.col("_k_slot")))
     return joined.drop(*[f"_k_{k}" for k in keys], "_k_slot")
 
 

@@ -29,23 +29,27 @@ def prop_k(column: str = "props") -> Column:
     return F.get_json_object(column, "$.k").cast("long")
 
 
-def function_events(spark: SparkSession, sf: str, enter: str = "view", exit_: str = "purchase") -> DataFrame:
-    """Views enter and purchases leave a function; ten cookies per user."""
-    return table(spark, sf, "events").filter(F.col("event_type").isin(enter, exit_)).select(
+ENTER = ("view", "click", "signup")
+
+
+def function_events(spark: SparkSession, sf: str, enter: tuple[str, ...] = ENTER) -> DataFrame:
+    """Events of the types in ``enter`` enter a function and all others leave one; four cookies per user."""
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("tgid"), F.col("user_id").alias("pid"), (prop_k() % 4).alias("cookie"),
-        (F.col("event_type") == enter).alias("is_enter"),
+        F.col("event_type").isin(*enter).alias("is_enter"),
         F.concat(F.lit("fn_"), F.floor(prop_k() / 4).cast("string")).alias("function_name"),
         micros("ts").alias("t"), F.col("event_id").alias("seq"), F.col("value"),
     )
 
 
-def function_events_sql(enter: str = "view", exit_: str = "purchase") -> str:
+def function_events_sql(enter: tuple[str, ...] = ENTER) -> str:
+    types = ", ".join(f"'{x}'" for x in enter)
     return f"""fe AS (
   SELECT user_id AS tgid, user_id AS pid, CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS cookie,
-         event_type = '{enter}' AS is_enter,
+         event_type IN ({types}) AS is_enter,
          'fn_' || CAST(CAST(floor(CAST(json_extract_string(props, '$.k') AS BIGINT) / 4) AS BIGINT) AS VARCHAR) AS function_name,
          epoch_us(ts) AS t, event_id AS seq, value
-  FROM events WHERE event_type IN ('{enter}', '{exit_}'))"""
+  FROM events)"""
 
 
 def pairs_sql(source: str, keys: str, extra: str = "") -> str:
@@ -93,20 +97,22 @@ IO_SQL = f"""io AS (
 
 
 def alloc_events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("A", "R")).select(
+    """Lines flagged A allocate and R free; of those flagged N the odd line numbers allocate and the even ones free."""
+    alloc = (F.col("l_returnflag") == "A") | ((F.col("l_returnflag") == "N") & (F.col("l_linenumber") % 2 == 1))
+    return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("pid"), F.col("l_partkey").alias("addr"),
-        (F.col("l_returnflag") == "A").alias("is_alloc"), long_of("l_extendedprice").alias("size"),
+        alloc.alias("is_alloc"), long_of("l_extendedprice").alias("size"),
         (F.col("l_partkey") % 50).alias("site"), F.when(F.col("l_discount") >= 0.1, 2).otherwise(0).alias("ret"),
         micros("l_shipdate").alias("t"), F.struct(*_LINE_SEQ).alias("seq"),
     )
 
 
 ALLOC_SQL = f"""al AS (
-  SELECT l_suppkey AS pid, l_partkey AS addr, l_returnflag = 'A' AS is_alloc,
+  SELECT l_suppkey AS pid, l_partkey AS addr, (l_returnflag = 'A' OR (l_returnflag = 'N' AND l_linenumber % 2 = 1)) AS is_alloc,
          CAST(floor(l_extendedprice) AS BIGINT) AS size, l_partkey % 50 AS site,
          CASE WHEN l_discount >= 0.1 THEN 2 ELSE 0 END AS ret,
          epoch_us(l_shipdate) AS t, {_LINE_SEQ_SQL} AS seq
-  FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+  FROM lineitem),
 matched AS (
   SELECT *, CASE WHEN NOT is_alloc AND lag(is_alloc) OVER w THEN lag(size) OVER w END AS matched_size
   FROM al WINDOW w AS (PARTITION BY pid, addr ORDER BY t, seq))"""

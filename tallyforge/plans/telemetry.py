@@ -11,8 +11,8 @@ from tallyforge.plans.registry import query
 CALL_KEYS = ["tgid", "pid", "cookie"]
 
 
-def calls(spark, sf, enter="view", exit_="purchase", keys=CALL_KEYS):
-    return pairing.pair_latest(b.function_events(spark, sf, enter, exit_), keys, keep=["function_name"])
+def calls(spark, sf, enter=b.ENTER, keys=CALL_KEYS):
+    return pairing.pair_latest(b.function_events(spark, sf, enter), keys, keep=["function_name"])
 
 
 CALLS_SQL = "WITH " + b.function_events_sql() + ",\n" + b.pairs_sql("fe", "tgid, pid, cookie")
@@ -24,12 +24,12 @@ def j1(spark, sf):
     return calls(spark, sf).select("tgid", "pid", "cookie", "enter_function_name", "start_t", "t", "duration")
 
 
-SYSCALL_SQL = ("WITH " + b.function_events_sql("click", "error") + ",\n"
+SYSCALL_SQL = ("WITH " + b.function_events_sql(("click", "view")) + ",\n"
                + b.pairs_sql("fe", "tgid, pid, function_name, cookie"))
 
 
 def syscalls(spark, sf):
-    return calls(spark, sf, "click", "error", ["tgid", "pid", "function_name", "cookie"])
+    return calls(spark, sf, ("click", "view"), ["tgid", "pid", "function_name", "cookie"])
 
 
 @query("j2_paired_syscalls", SYSCALL_SQL + """
@@ -39,11 +39,11 @@ def j2(spark, sf):
                                       F.col("cookie").alias("call_id"), "start_t", "duration")
 
 
-OPS_SQL = "WITH " + b.function_events_sql("view", "signup") + ",\n" + b.pairs_sql("fe", "tgid, pid")
+OPS_SQL = "WITH " + b.function_events_sql(("view", "purchase")) + ",\n" + b.pairs_sql("fe", "tgid, pid")
 
 
 def ops(spark, sf):
-    return calls(spark, sf, "view", "signup", ["tgid", "pid"])
+    return calls(spark, sf, ("view", "purchase"), ["tgid", "pid"])
 
 
 @query("j3_latest_enter_exit", OPS_SQL + "\nSELECT tgid, pid, start_t, t, duration FROM calls")

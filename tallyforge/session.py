@@ -34,10 +34,12 @@ def local_session(cpus: int | str = 8, name: str = "tallyforge", **extra: str) -
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a local one only where none is set."""
+    """Reliable checkpoint in the folder the session names. Only a local session gets one of its own, where none is named."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
     return df.checkpoint()

@@ -144,8 +144,17 @@ def test_top_share_ranks_across_tasks(spark, rows):
     assert series.top_share(df, 0.2).count() == 20
 
 
-def test_epochs_calibrate_on_their_own(spark):
+def test_threshold_is_one_run_whatever_the_length(spark):
+    from tallyforge.functions import tails
+
     rng = np.random.default_rng(3)
-    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(rng.normal(size=400))], "series string, t long, score double")
-    out = rebuild.adaptive_threshold(df, 1e-2, 0.9, 100, epoch=200)
-    assert out.count() == 400 and out.filter("threshold is null").count() == 0
+    values = {"s": rng.normal(size=30_000), "t": rng.normal(size=70), "u": rng.normal(size=500)}
+    df = spark.createDataFrame([(n, i, float(v)) for n, x in values.items() for i, v in enumerate(x)], "series string, t long, score double")
+    out = rebuild.adaptive_threshold(df, 1e-2, 0.98, 100).toPandas().sort_values("t")
+    for name, x in values.items():
+        spot = tails.Spot(x[:100], 1e-2, 0.98)
+        want = [spot.step(v) for v in x]
+        got = out[out.series == name]
+        assert got.score.tolist() == x.tolist()
+        assert got.label.tolist() == [int(w[2]) for w in want]
+        assert np.allclose(got.threshold, [w[0] for w in want])
