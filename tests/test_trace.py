@@ -187,3 +187,24 @@ def test_relations_can_be_added_and_switched_off():
     rel.register_relation("mine", lambda calls: calls)
     assert "mine" in rel.chosen_relations() and "mine" not in rel.chosen_relations(disabled=["mine"])
     del rel.RELATIONS["mine"]
+
+
+def test_line_groups_follow_the_first_line_not_yet_in_one(spark):
+    rng = random.Random(2)
+    lines = [(i, {k: rng.choice(["x", "y", "z", "q1", "q2"]) for k in rng.sample("abcdefgh", rng.randint(1, 7))}) for i in range(200)]
+    got = diff.line_patterns(spark.createDataFrame(lines, "idx long, content map<string,string>"))
+    distinct = {}
+    for i, content in lines:
+        masked = {k: v.replace("1", "0").replace("2", "0") for k, v in content.items()}
+        held = distinct.setdefault(tuple(sorted(masked.items())), [masked, i, 0])
+        held[2] += 1
+    ordered = sorted(distinct.values(), key=lambda x: x[1])
+    taken, want = set(), []
+    for i, (mine, _, times) in enumerate(ordered):
+        if i in taken:
+            continue
+        near = [j for j in range(i + 1, len(ordered)) if j not in taken
+                and sum(1 for k in mine.keys() | ordered[j][0].keys() if mine.get(k) != ordered[j][0].get(k)) <= 3]
+        taken.update(near)
+        want.append((times + sum(ordered[j][2] for j in near), 1 + len(near)))
+    assert sorted((r.times, r.variants) for r in got.collect()) == sorted(want)
