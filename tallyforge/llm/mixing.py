@@ -7,8 +7,8 @@ fitted by projected gradient descent on the squared distance between these total
     rate <- max(0, rate - posterior . step),   step = inverse(sum of tokens * posterior posterior^T) (totals - targets)
 
 starting from rate 1 everywhere. The metric weighs a document by its tokens and a domain by the inverse of what the
-documents can move it, so the largest step that descends is 1 and two documents of equal posterior get equal
-rates. A round is one aggregation that returns a total for each domain; each row works out its rate from the steps
+documents with a rate above 0 can move it, so two documents of equal posterior get equal rates; a step that
+doesn't bring the totals nearer is halved. A round is one aggregation that returns a total for each domain; each row works out its rate from the steps
 so far, so nothing but a few numbers for each round is kept.
 """
 
@@ -18,14 +18,15 @@ from collections.abc import Mapping
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import work_folder, written
 
-FEATURES = 1 << 16
+VOCABULARY = 1 << 15
+RARE = 0.003  # words in a smaller share of the sample are no features
 SAMPLE = 20_000
 ROUNDS = 60
 CLOSE = 1e-6
@@ -46,17 +47,17 @@ def n_tokens(text: Column) -> Column:
     return F.when(body == "", 0).otherwise(F.size(F.split(body, "[ \\t\\n\\x0B\\f\\r]+"))).cast("long")
 
 
-def _features(rows: DataFrame, text: str) -> DataFrame:
-    hashed = HashingTF(numFeatures=FEATURES, inputCol="_words", outputCol="_counts").transform(rows.withColumn("_words", _words(F.col(text))))
-    return Normalizer(inputCol="_counts", outputCol="_features").transform(hashed).drop("_words", "_counts")
+def _features(rows: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
+    """Which words of the vocabulary a text holds."""
+    return vocabulary.transform(rows.withColumn("_words", _words(F.col("body")))).drop("_words")
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, *, domains: Mapping[str, str] = DOMAINS, text: str = "text", id_: str = "doc_id",
                sample: int = SAMPLE) -> DataFrame:
     """(id, text_key, n_tokens, posterior) for each row of `docs`; the posterior has an entry for each domain, in order.
 
-    The classifier, a multinomial logistic regression on hashed words, is fitted on about `sample` labelled documents at
-    most (those whose id hashes lowest), which bounds both its cost and the broadcast of their labels. Labelled rows
+    The classifier, a sparse multinomial logistic regression on the presence of words, is fitted on about `sample` labelled
+    documents at most (those whose id hashes lowest), which bounds its cost, its vocabulary and the broadcast of labels. Labelled rows
     with a null in a needed column, or whose document is missing, are left out; an id labelled more than once counts for
     its first domain. A domain without labelled rows has posterior 0; without any, all documents share
     the domains evenly.
@@ -80,10 +81,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, *, domains: Mapping[str, str]
         return counted.select("id", "text_key", "n_tokens", F.lit(even).alias("posterior"))
     place = {domain: i for i, domain in enumerate(present)}
     numbered = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
-    fitted = LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=1e-3, maxIter=40).fit(
-        _features(train.withColumn("_label", numbered[F.col("domain")].cast("double")), "body"))
+    vocabulary = CountVectorizer(inputCol="_words", outputCol="_features", minDF=RARE, vocabSize=VOCABULARY, binary=True).fit(
+        train.select(_words(F.col("body")).alias("_words")))
+    fitted = LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=3e-3, elasticNetParam=1.0, maxIter=60).fit(
+        _features(train.withColumn("_label", numbered[F.col("domain")].cast("double")), vocabulary))
     fitted.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("_probability")
-    scored = fitted.transform(_features(counted, "body")).select("id", "text_key", "n_tokens", vector_to_array("_probability").alias("p"))
+    scored = fitted.transform(_features(counted, vocabulary)).select("id", "text_key", "n_tokens", vector_to_array("_probability").alias("p"))
     parts = [F.col("p")[place[i]] if i in place else F.lit(0.0) for i in range(len(names))]
     return scored.select("id", "text_key", "n_tokens", F.array(*parts).alias("posterior"))
 
@@ -100,22 +103,32 @@ def fit_steps(rows: DataFrame, weights: list[float], *, budget: float = 1.0, rou
     size = len(weights)
     n = F.col("n_tokens").cast("double")
     p = F.col("posterior")
-    sums = rows.agg(F.sum(n), *[F.sum(n * p[i]) for i in range(size)],
-                    *[F.sum(n * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
-    total, at = sums[0] or 0.0, [x or 0.0 for x in sums[1:size + 1]]
-    gram = np.array([x or 0.0 for x in sums[size + 1:]]).reshape(size, size)
+
+    def state(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, tokens of each domain at the rates so far, and the matrix of the documents that can move."""
+        rated = rows.select(n.alias("n"), "posterior", _rate(p, steps).alias("rate"))
+        moves = F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0)
+        sums = rated.agg(F.sum("n"), *[F.sum(F.col("n") * p[i] * F.col("rate")) for i in range(size)],
+                         *[F.sum(moves * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
+        sums = [x or 0.0 for x in sums]
+        return sums[0], np.array(sums[1:size + 1]), np.array(sums[size + 1:]).reshape(size, size)
+
+    total, at, gram = state([])
     usable = [w if a > 0 else 0.0 for w, a in zip(weights, at, strict=True)]
-    targets = [budget * total * w / sum(usable) if sum(usable) else a for w, a in zip(usable, at, strict=True)]
-    inverse = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
+    targets = [budget * total * w / sum(usable) if sum(usable) else float(a) for w, a in zip(usable, at, strict=True)]
     steps: list[list[float]] = []
-    while len(steps) < rounds:
-        off = np.array(at) - targets
-        if np.abs(off).sum() <= CLOSE * max(total, 1.0):
-            break
-        steps.append([float(x) for x in inverse @ off])
-        rate = _rate(p, steps)
-        found = rows.select(n.alias("n_tokens"), "posterior", rate.alias("rate")).agg(*[F.sum(n * p[i] * F.col("rate")) for i in range(size)]).first()
-        at = [x or 0.0 for x in found]
+    length = 1.0
+    far = np.abs(at - targets).sum()
+    while len(steps) < rounds and far > CLOSE * max(total, 1.0):
+        tried = [*steps, [float(x) for x in length * (np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (at - targets))]]
+        _, then, moved = state(tried)
+        if np.abs(then - targets).sum() >= far:  # too long a step: documents at rate 0 came back
+            length /= 2
+            if length < 1e-3:
+                break
+            continue
+        steps, at, gram, far = tried, then, moved, np.abs(then - targets).sum()
+        length = min(1.0, 2 * length)
     return steps, targets
 
 
