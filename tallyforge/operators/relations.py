@@ -6,8 +6,10 @@ has hypothesis, polarity (1 or 0), example, record; a record is a row of the tra
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ MERGE_RATIO = 1.3
 FLOAT_TOLERANCE = 1e-8
 # Calls of one thread handled by one task when neighbours are looked up.
 CHUNK = 200_000
+SALTS = 64
 
 
 def likelihood(positives: Column, negatives: Column) -> Column:
@@ -44,14 +47,8 @@ def _recent_at_chunk_start(placed: DataFrame) -> DataFrame:
         *tr.THREAD, "function", "at", F.explode(F.sequence(F.col("chunk") + 1, until)).alias("chunk"))
 
 
-def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | None = None,
-                 backwards: bool = False) -> DataFrame:
-    """Calls with ``pos`` and ``since``: the functions called on the thread after the last
-    call of the same function (or from the start), each once, the latest first.
-
-    Keeping functions by recency, these are the ones ahead of the function itself. A
-    thread is cut into chunks; a chunk starts from the recency order at its border.
-    """
+def _in_chunks(pre_records: DataFrame, chunk: int, max_rows: int | None, backwards: bool) -> tuple[DataFrame, list[str]]:
+    """Calls by thread and chunk in order, each chunk after the functions called before it (``_kind`` 0) by recency."""
     placed = tr.positions(pre_records, max_rows, backwards).withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
     keys = [*tr.THREAD, "chunk"]
     rows = placed.select(*keys, "pos", "call_id", "function", F.lit(1).alias("_kind"))
@@ -60,7 +57,28 @@ def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | Non
     # Light in bytes but heavy to compute, so spread over all partitions; a task walks its
     # threads one after the other and holds no more than the functions of one.
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    walked = rows.unionByName(border).repartition(parts, *keys).sortWithinPartitions(*keys, "_kind", "pos")
+    return rows.unionByName(border).repartition(parts, *keys).sortWithinPartitions(*keys, "_kind", "pos"), keys
+
+
+def _turn(recent: list[str], name: str) -> list[str]:
+    """The functions called since the last call of ``name``, which moves to the front of the recency order."""
+    place = recent.index(name) if name in recent else len(recent)
+    since = recent[:place]
+    if place < len(recent):
+        del recent[place]
+    recent.insert(0, name)
+    return since
+
+
+def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | None = None,
+                 backwards: bool = False) -> DataFrame:
+    """Calls with ``pos`` and ``since``: the functions called on the thread after the last
+    call of the same function (or from the start), each once, the latest first.
+
+    Keeping functions by recency, these are the ones ahead of the function itself. A
+    thread is cut into chunks; a chunk starts from the recency order at its border.
+    """
+    rows, keys = _in_chunks(pre_records, chunk, max_rows, backwards)
     types = dict(rows.dtypes)
     out = [*keys, "pos", "call_id", "function"]
 
@@ -68,29 +86,57 @@ def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | Non
         group, recent = None, []
         for part in batches:
             since = []
-            for *key, name in zip(*(part[k] for k in keys), part["function"]):
+            for *key, name in zip(*(part[k] for k in keys), part["function"], strict=True):
                 if key != group:
                     group, recent = key, []
-                place = recent.index(name) if name in recent else len(recent)
-                since.append(recent[:place])
-                if place < len(recent):
-                    del recent[place]
-                recent.insert(0, name)
+                since.append(_turn(recent, name))
             yield part[out].assign(since=since)[part["_kind"].to_numpy() == 1]
 
-    return walked.mapInPandas(walk, ", ".join(f"{c} {types[c]}" for c in out) + ", since array<string>")
+    return rows.mapInPandas(walk, ", ".join(f"{c} {types[c]}" for c in out) + ", since array<string>")
 
 
-def _order_hypotheses(calls: DataFrame, follows: bool, pool: DataFrame | None, chunk: int,
-                      max_rows: int | None) -> tuple[DataFrame, DataFrame]:
-    """(pairs per thread with their level, matched pairs per call) for cover or lead."""
-    if pool is not None:
-        calls = calls.join(pool, "function", "left_semi")
+def _since_counts(pre_records: DataFrame, chunk: int, max_rows: int | None, backwards: bool) -> DataFrame:
+    """Per thread, how many calls of ``subject`` had a call of ``other`` since the last one (``_matched``).
+
+    Counted while a chunk is walked, so only sums leave it; they leave early when there are many.
+    """
+    rows, keys = _in_chunks(pre_records, chunk, max_rows, backwards)
+    types = dict(rows.dtypes)
+    names = [*tr.THREAD, "subject", "other", "_matched"]
+
+    def walk(batches):
+        group, recent, sums = None, [], Counter()
+
+        def out():
+            return pd.DataFrame([(*thread, subject, other, n) for (thread, subject, other), n in sums.items()], columns=names)
+
+        for part in batches:
+            for *key, name, kind in zip(*(part[k] for k in keys), part["function"], part["_kind"], strict=True):
+                if key != group:
+                    group, recent = key, []
+                since = _turn(recent, name)
+                if kind:
+                    sums.update((tuple(key[:-1]), name, other) for other in since)
+            if len(sums) > CHUNK:
+                yield out()
+                sums.clear()
+        yield out()
+
+    schema = ", ".join(f"{c} {types[c]}" for c in tr.THREAD) + ", subject string, other string, _matched long"
+    summed = rows.mapInPandas(walk, schema)
+    return summed.groupBy(*tr.THREAD, "subject", "other").agg(F.sum("_matched").alias("_matched"))
+
+
+def _beside(calls: DataFrame, follows: bool) -> DataFrame:
+    """Per thread, each subject with the functions on its level, for cover or lead."""
     # One row per thread and function; written once, as the pairs are used several times.
     level = tr.level_pairs(cut_lineage(tr.function_edges(calls)))
-    # Looking ahead is looking back from the end of the thread.
-    since = called_since(calls.withColumn("time", F.col("start")), chunk, max_rows, backwards=follows)
-    return level, since
+    subject, other = ("function_a", "function_b") if follows else ("function_b", "function_a")
+    return level.select(*tr.THREAD, F.col(subject).alias("subject"), F.col(other).alias("other")).distinct()
+
+
+def _pooled(calls: DataFrame, pool: DataFrame | None) -> DataFrame:
+    return calls if pool is None else calls.join(pool, "function", "left_semi")
 
 
 def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None, chunk: int = CHUNK,
@@ -102,16 +148,11 @@ def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None,
     A thread that never calls the partner beside the subject counts all its subjects
     against the pair; a thread where the subject is beside nothing does not count.
     """
-    level, since = _order_hypotheses(calls, follows, pool, chunk, max_rows)
-    subject, other = ("function_a", "function_b") if follows else ("function_b", "function_a")
-    beside = level.select(*tr.THREAD, F.col(subject).alias("subject"), F.col(other).alias("other")).distinct()
+    beside = _beside(_pooled(calls, pool), follows)
     pairs = beside.select("subject", "other").distinct()
     counted = calls.groupBy(*tr.THREAD, F.col("function").alias("subject")).agg(F.count(F.lit(1)).alias("_calls"))
-    # One row per matched call and partner, added up before the shuffle.
-    matched = (
-        since.select(*tr.THREAD, F.col("function").alias("subject"), F.explode("since").alias("other"))
-        .groupBy(*tr.THREAD, "subject", "other").agg(F.count(F.lit(1)).alias("_matched"))
-    )
+    # Looking ahead is looking back from the end of the thread.
+    matched = _since_counts(_pooled(calls, pool).withColumn("time", F.col("start")), chunk, max_rows, backwards=follows)
     subjects = beside.select(*tr.THREAD, "subject").distinct().join(counted, [*tr.THREAD, "subject"])
     per_thread = (
         subjects.join(pairs, "subject")
@@ -126,9 +167,9 @@ def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None,
 def order_examples(calls: DataFrame, follows: bool, pool: DataFrame | None = None, keep: int = 5000, seed: int = 42,
                    chunk: int = CHUNK, max_rows: int | None = None) -> DataFrame:
     """Subject calls for and against each pair, at most ``keep`` of each by seeded order."""
-    level, since = _order_hypotheses(calls, follows, pool, chunk, max_rows)
-    subject, other = ("function_a", "function_b") if follows else ("function_b", "function_a")
-    beside = level.select(*tr.THREAD, F.col(subject).alias("subject"), F.col(other).alias("other")).distinct()
+    calls = _pooled(calls, pool)
+    beside = _beside(calls, follows)
+    since = called_since(calls.withColumn("time", F.col("start")), chunk, max_rows, backwards=follows)
     pairs = beside.select("subject", "other").distinct()
     subjects = beside.select(*tr.THREAD, "subject").distinct()
     partners = subjects.join(pairs, "subject").join(
@@ -143,10 +184,14 @@ def order_examples(calls: DataFrame, follows: bool, pool: DataFrame | None = Non
 def capped(examples: DataFrame, keys: Sequence[str], example: str, keep: int = 5000, seed: int = 42) -> DataFrame:
     """At most ``keep`` examples per hypothesis and polarity, by a seeded hash.
 
-    The limit is applied before the shuffle as well.
+    Ranked in ``SALTS`` shares first, so no task sorts all examples of a hypothesis.
     """
-    order = Window.partitionBy(*keys, "polarity").orderBy(F.xxhash64(F.lit(seed), F.col(example)), F.col(example))
-    return examples.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= keep).drop("_rn")
+    draw = F.xxhash64(F.lit(seed), F.col(example))
+    drawn = examples.withColumns({"_draw": draw, "_salt": F.pmod(F.xxhash64(F.col(example)), F.lit(SALTS))})
+    for share in (["_salt"], []):
+        order = Window.partitionBy(*keys, "polarity", *share).orderBy("_draw", example)
+        drawn = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= keep).drop("_rn")
+    return drawn.drop("_draw", "_salt")
 
 
 def merged_chains(pairs: DataFrame) -> DataFrame:
