@@ -5,10 +5,12 @@
 2. Inverted lists of sketch values give candidates. Two sets with a similarity of 0.8 share `SHARED` of 32 values but
    for a chance of 3e-10, so a class needs to look only at its rarest `SKETCH - SHARED + 1` values: very common
    values meet nowhere, and no value is dropped. Small sets have their whole set as sketch, where the bound is exact.
-3. Lists of up to `LIST` classes give all their pairs. Longer lists (groups of thousands of near copies) are joined by
-   hubs: in each round a list's hub meets the members that no link has yet brought into its component,
-   and in the end the few members left outside the largest component of a list meet all others of the list.
-   Pairs inside one component say nothing new, so they are never formed.
+3. Lists of up to `LIST` classes give all their pairs. Longer lists (groups of thousands of near copies) are never
+   paired: each has a hub, the class that stands in most long lists, and each member is compared with the hub alone.
+   Two members that are linked with the hub are in one group anyway. For the others the differences from the hub are
+   compared: with c elements that only one of a class and its hub has, two classes differ in c1 + c2 - 2 * common
+   elements, so linked classes must share many differences, and if one of them is not linked with the hub, one of the
+   rarest half of the other's. A pair is formed only where such a difference stands early enough in both.
 4. The union of two sketches estimates the similarity of a pair and drops the hopeless ones; the others are
    confirmed on their full sets. Components of the confirmed links are the groups.
 """
@@ -32,7 +34,6 @@ from tallyforge.llm.pieces import slices
 SKETCH = 32
 SHARED = 10
 LIST = 16
-HUB_ROUNDS = 3
 WORDS_KNOWN = 400_000
 
 
@@ -148,6 +149,42 @@ def _pairs(x: DataFrame, y: DataFrame, condition, similarity: int) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a < b").distinct()
 
 
+def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, folder: str) -> DataFrame:
+    """Links that join the members of each long list as all their pairs would.
+
+    Sets of n1 and n2 elements are linked if they differ in at most share * (n1 + n2) elements.
+    """
+    less, more = 100 - similarity, 100 + similarity  # share = less / more
+    weight = long_.groupBy("node").agg(F.count("*").alias("lists"))
+    ranked = long_.select("value", "node").join(weight, "node")
+    hubs = ranked.groupBy("value").agg(F.max(F.struct("lists", "node")).alias("top")).select("value", F.col("top.node").alias("hub"))
+    members = ranked.join(hubs, "value").where("hub <> node").select("hub", "node").distinct()
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
+    held = members.join(sets, "node").join(of_hub, "hub")
+    apart = F.concat(F.array_except("items", "hub_items"), F.array_except("hub_items", "items"))
+    held = held.select("hub", "node", F.size("items").alias("n"), F.size("hub_items").alias("hub_n"), apart.alias("apart"))
+    held = held.withColumn("c", F.size("apart")).withColumn("outside", F.col("c") * more > (F.col("n") + F.col("hub_n")) * less)
+    held = written(held, f"{folder}/hubs")
+    linked = held.where("not outside").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+
+    unsettled = held.where("outside").select("hub").distinct()
+    elements = held.join(unsettled, "hub").select("hub", "node", "n", "hub_n", "c", "outside", F.explode("apart").alias("element"))
+    common = elements.groupBy("hub", "element").agg(F.count("*").alias("holders")).where("holders > 1")
+    mine = Window.partitionBy("hub", "node")
+    placed = elements.join(common, ["hub", "element"])
+    # differences that no other member has come first; `left` counts this one and those behind it
+    at = F.col("c") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "element"))
+    placed = written(placed.select("hub", "node", "n", "hub_n", "c", "outside", "element", (F.col("c") - at + 1).alias("left")), f"{folder}/differences")
+    x = placed.where("outside").alias("x")
+    half = F.floor((F.col("c") * more + (F.col("hub_n") - F.col("n")) * less) / (2 * more))
+    y = placed.where(F.col("left") > half).alias("y")
+    needed = (F.col("x.c") + F.col("y.c")) * more - (F.col("x.n") + F.col("y.n")) * less  # times 2 * more
+    fits = (F.col("x.left") * 2 * more >= needed) & (F.col("y.left") * 2 * more >= needed)
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.node") != F.col("y.node")) & fits)
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return linked.unionByName(_confirmed(_alike(pairs, nodes), sets, similarity))
+
+
 def near_groups(docs: DataFrame, *, words: int = 5, similarity: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """One row for each row of `docs`: doc_id, text_key, n_shingles, class_id, component_id, kept.
 
@@ -169,29 +206,9 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: int = 80, text:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(long_.select("node")).distinct()
     sets = written(_full_sets(docs, nodes.select("node", "id", "text_key").join(wanted, "node"), text, id_, words), f"{folder}/sets")
     links = written(_confirmed(pairs, sets, similarity), f"{folder}/links")
+    links = links.unionByName(_hub_links(long_, nodes, sets, similarity, folder))
     labels = written(components(links, f"{folder}/cc"), f"{folder}/labels")
 
-    for turn in range(HUB_ROUNDS + 1):
-        # lists that hold more than one component, with the component of each member
-        named = long_.join(labels, "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("label"))
-        open_ = named.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
-        named = written(named.join(open_, "value"), f"{folder}/open{turn}")
-        if named.isEmpty():
-            break
-        apart = F.col("x.label") != F.col("y.label")
-        if turn < HUB_ROUNDS:
-            hubs = named.groupBy("value").agg(F.min(F.struct(F.xxhash64("node", "value", F.lit(turn)).alias("draw"), "node", "n", "label")).alias("h"))
-            hubs = hubs.select("value", "h.node", "h.n", "h.label")
-            pairs = _pairs(hubs, named, apart, similarity)
-        else:
-            sizes = named.groupBy("value", "label").agg(F.count("*").alias("m"))
-            main = sizes.groupBy("value").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-            outside = named.join(main, "value").where("label <> main").drop("main")
-            pairs = _pairs(outside, named, apart, similarity)
-        found = _confirmed(_alike(pairs, nodes), sets, similarity)
-        links = written(links.unionByName(found), f"{folder}/links{turn}")
-        labels = written(components(links, f"{folder}/cc{turn}"), f"{folder}/labels{turn}")
-
     grouped = nodes.join(labels, "node", "left").select("node", "digest", "id", F.coalesce("label", "node").alias("label"))
     smallest = grouped.groupBy("label").agg(F.min("id").alias("component_id"))
     named = grouped.join(smallest, "label").select("digest", F.col("label").alias("class_id"), "component_id")

@@ -39,15 +39,16 @@ def groups(rows, n, similarity=80):
     return sorted(((doc, len(sets[i]), min(least[find(i)], default=None) if sets[i] else doc) for i, (doc, _) in enumerate(rows)), key=repr)
 
 
-def near_rows(seed=3, base=12, copies=9, words=60):
+def near_rows(seed=3, base=12, copies=9, words=60, edits=4):
     rng = random.Random(seed)
     rows = []
     for b in range(base):
         text = [f"w{rng.randint(0, 300)}" for _ in range(words)]
         for _ in range(copies):
             edited = list(text)
-            for _ in range(rng.randint(0, 4)):
-                edited[rng.randrange(words)] = f"e{rng.randint(0, 10**6)}"
+            for _ in range(rng.randint(0, edits)):
+                # few places and words for edits, so that members can be near each other but far from the rest
+                edited[rng.randrange(words // 3) * 3] = f"e{rng.randint(0, 3)}"
             rows.append((len(rows) * 7 % 1009, " ".join(edited)))
     return rows
 
@@ -61,11 +62,11 @@ def test_groups_equal_brute_force(make_docs, odd_rows, n):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
 
-def test_long_lists_are_joined_by_hubs(make_docs, monkeypatch):
-    # lists of over two classes go through hub rounds, and what they leave open through the last round
-    monkeypatch.setattr(minhash_dedup, "LIST", 2)
-    monkeypatch.setattr(minhash_dedup, "HUB_ROUNDS", 1)
-    data = near_rows(seed=8, base=4, copies=25)
+@pytest.mark.parametrize(("seed", "copies", "edits"), [(8, 25, 4), (9, 60, 8), (10, 40, 3)])
+def test_long_lists_are_joined_by_hubs(make_docs, monkeypatch, seed, copies, edits):
+    # all lists are long; many members are linked with others but not with their hub, or with none
+    monkeypatch.setattr(minhash_dedup, "LIST", 1)
+    data = near_rows(seed=seed, base=3, copies=copies, words=90, edits=edits)
     got = minhash_dedup.near_groups(make_docs(data), words=4)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == groups(data, 4)
 
