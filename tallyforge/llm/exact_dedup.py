@@ -111,7 +111,7 @@ def unique(docs: DataFrame, *, text: str = "text", id_: str = "doc_id", capacity
     The id is part of the join key, so the copies of a hot text spread over all tasks.
     """
     index, _ = build_index(docs, work_folder(docs.sparkSession, "exact-dedup"), text=text, id_=id_, capacity=capacity)
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     stay = _probes(docs, text, id_, row).join(index, F.expr(f"{HIT} and id <=> keep_id"))
     once = Window.partitionBy("p_key", "text_sha256", "p_bytes", "id").orderBy(F.xxhash64("carried"))
     return stay.withColumn("turn", F.row_number().over(once)).where("turn = 1").select("carried.*")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.common import HashTable, work_folder, written
 from tallyforge.llm.pieces import Memo, slices
@@ -221,9 +222,9 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[Co
     text if no language was learned, get `und` and 0. Ties go to the language first by name. The whole text
     counts; repeated rows keep a row each; an empty table gives no rows.
     """
-    carried = F.struct(*(carry if carry is not None else [docs[c] for c in docs.columns]))
+    carried = F.struct(*(carry if carry is not None else [docs[f"`{c}`"] for c in docs.columns]))
     rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("body"), carried.alias("row"))
-    schema = f"lang_pred string, score double, row {rows.schema['row'].dataType.simpleString()}"
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), rows.schema["row"]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,7 +153,7 @@ def mixed(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_: str =
     """The rows of `docs`, each as often as its copies say (0 leaves it out), with the columns of `docs`."""
     decided = rates(docs, labels, text=text, id_=id_, **options).where("copies > 0").select(
         F.col("id").alias("m_id"), F.col("text_key").alias("m_key"), "copies").distinct()
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(row.alias("row"), docs[id_].alias("r_id"), F.xxhash64(docs[text]).alias("r_key"))
     kept = rows.join(decided, F.col("r_id").eqNullSafe(F.col("m_id")) & (F.col("r_key") == F.col("m_key")))
     return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHING = "row struct<a:int>, id string, key int, body string, n int, label string, kept boolean, ids string, value int"
+CLASHING = "row struct<a:int>, id string, key int, body string, n int, label string, kept boolean, ids string, value int, `a.b` string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
 
 
@@ -10,7 +10,7 @@ SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {
 def make_docs(spark):
     """(doc_id, text[, lang]) tuples as documents with further columns whose names the operators use themselves."""
     def make(rows, parts=3):
-        filled = [(r[0], r[1], r[2] if len(r) > 2 else None, None, None, (1,), "x", 2, "y", 3, "z", True, "w", 4) for r in rows]
+        filled = [(r[0], r[1], r[2] if len(r) > 2 else None, None, None, (1,), "x", 2, "y", 3, "z", True, "w", 4, "dot") for r in rows]
         return spark.createDataFrame(filled, SCHEMA).repartition(parts)
     return make
 
