@@ -738,6 +738,13 @@ def p11(spark, sf):
     return pc.without_implied(pc.preconditions_as_sets(learned(spark, sf))).withColumn("clauses", F.concat_ws(" & ", "clauses"))
 
 
+@query("i24_capped_counts", "WITH " + order_sql(True) + """
+SELECT subject, other, polarity, least(count(*), 50) AS kept FROM examples GROUP BY ALL""")
+def i24_counts(spark, sf):
+    examples = rel.order_examples(calls(spark, sf), True, pool(spark, sf), keep=50)
+    return examples.groupBy("subject", "other", "polarity").agg(F.count(F.lit(1)).alias("kept"))
+
+
 @query("i24_capped_examples")
 def i24(spark, sf):
     return rel.order_examples(calls(spark, sf), True, pool(spark, sf), keep=50)
