@@ -19,6 +19,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm.common import HashTable
 from tallyforge.llm.pieces import Memo, cut, slices
@@ -52,36 +53,38 @@ class Vocabulary:
 
     # encoding
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word, merged for itself."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each merged for itself, one word after the other; and how many each word has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        data = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        counts = sizes.copy()
         width = np.where(sizes <= 16, sizes, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
         order = np.argsort(width, kind="stable")
-        cuts = np.flatnonzero(np.diff(width[order])) + 1
-        for bucket in np.split(order, cuts):
-            if not len(bucket):
+        for bucket in np.split(order, np.flatnonzero(np.diff(width[order])) + 1):
+            wide = int(width[bucket[0]]) if len(bucket) else 0
+            if wide < 2:
                 continue
-            wide = int(width[bucket[0]])
             if wide > LONG:
                 for at in bucket:
-                    out[at] = self._merge_long(self.bytes[np.frombuffer(words[at], np.uint8)])
+                    merged = self._merge_long(data[starts[at]:starts[at] + sizes[at]])
+                    counts[at] = len(merged)
+                    data[starts[at]:starts[at] + len(merged)] = merged
                 continue
-            rows = max(1, CELLS // max(wide, 1))
+            rows = max(1, CELLS // wide)
             for i in range(0, len(bucket), rows):
                 part = bucket[i:i + rows]
-                self._merge_rows(words, sizes, part, wide, out)
-        return out
-
-    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, at: np.ndarray, width: int, out: list[np.ndarray]) -> None:
-        size = sizes[at]
-        ids = np.full((len(at), width + 1), -1, np.int32)
+                counts[part] = self._merge_rows(data, starts[part], sizes[part], wide)
+        ends = np.cumsum(counts)
+        return data[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """Merge the rows that begin at `starts` in `data`, write their ids there, and return how many each has."""
+        at = np.arange(len(starts))
+        counts = size.copy()
         inside = np.arange(width + 1) < size[:, None]
-        ids[inside] = self.bytes[np.frombuffer(b"".join([words[i] for i in at]), np.uint8)]
-        if width < 2:
-            for row, i in enumerate(at):
-                out[i] = ids[row, :size[row]]
-            return
+        ids = np.full((len(at), width + 1), -1, np.int32)
+        ids[inside] = data[(starts[:, None] + np.arange(width + 1))[inside]]
         ranks = np.full(ids.shape, NONE, np.int32)
         ranks[:, :-1] = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(at), width)
         column = np.arange(width + 1)
@@ -91,24 +94,24 @@ class Vocabulary:
             least = ranks[rows, best]
             done = least == NONE
             if done.any():
-                for row in np.flatnonzero(done):
-                    out[at[row]] = ids[row, :size[row]].copy()
+                inside = column < size[done][:, None]
+                data[(starts[at[done]][:, None] + column)[inside]] = ids[done][inside]
+                counts[at[done]] = size[done]
                 keep = ~done
                 if not keep.any():
-                    return
+                    return counts
                 ids, ranks, size, at, best, least = ids[keep], ranks[keep], size[keep], at[keep], best[keep], least[keep]
                 rows = np.arange(len(at))
             gap = column[:-1] > best[:, None]  # what lies right of the pair's left half moves up by one
-            ids[:, :-1] = np.where(gap, ids[:, 1:], ids[:, :-1])
-            ranks[:, :-1] = np.where(gap, ranks[:, 1:], ranks[:, :-1])
+            np.copyto(ids[:, :-1], ids[:, 1:].copy(), where=gap)
+            np.copyto(ranks[:, :-1], ranks[:, 1:].copy(), where=gap)
             ids[rows, best] = least
             size = size - 1
             longest = int(size.max())
             if longest + 1 < ids.shape[1]:
                 ids, ranks, column = ids[:, :longest + 1], ranks[:, :longest + 1], column[:longest + 1]
             ids[rows, size] = -1
-            after = np.minimum(best + 1, ids.shape[1] - 1)
-            ranks[rows, best] = self.rank(least, ids[rows, after])
+            ranks[rows, best] = self.rank(least, ids[rows, best + 1])
             before = np.flatnonzero(best > 0)
             ranks[before, best[before] - 1] = self.rank(ids[before, best[before] - 1], least[before])
             ranks[rows, size] = NONE
@@ -141,13 +144,34 @@ class Vocabulary:
             for touched in {at // block, gone // block, max(left, 0) // block}:
                 least[touched] = table[touched].min()
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as the bytes of an int32 array."""
-        matches = [self.pattern.findall(piece) for piece in pieces]
-        distinct = list(set(chain.from_iterable(matches)))
-        ids = self.encode([word.encode() for word in distinct])
-        known = {word: row.tobytes() for word, row in zip(distinct, ids, strict=True)}
-        return [b"".join([known[word] for word in words]) for words in matches]
+    def _encode_matches(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all matches, one after the other, and how many each has; each distinct match is merged once."""
+        number: dict[str, int] = {}
+        which = np.fromiter((number.setdefault(m, len(number)) for m in matches), np.int64, len(matches))
+        flat, counts = self.encode([word.encode() for word in number])
+        starts, sizes = (np.cumsum(counts) - counts)[which], counts[which]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def encode_pieces(self, pieces: list[str], lead: str = "") -> list[bytes]:
+        """Ids of `lead` + each piece, as the bytes of an int32 array.
+
+        With a space in front, pieces that don't end in white space split the same when they stand in a row, so
+        the pattern runs over all of them at once.
+        """
+        joined = [i for i, p in enumerate(pieces) if p and not p[-1].isspace()] if lead == " " else []
+        single = sorted(set(range(len(pieces))).difference(joined))
+        matches = self.pattern.findall(lead + lead.join([pieces[i] for i in joined])) if joined else []
+        letters = np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches)))
+        piece_ends = np.cumsum(np.fromiter((len(pieces[i]) + 1 for i in joined), np.int64, len(joined)))
+        rest = [self.pattern.findall(lead + pieces[i]) for i in single]
+        ends = np.concatenate([np.searchsorted(letters, piece_ends) + 1, len(matches) + np.cumsum([len(m) for m in rest], dtype=np.int64)])
+        flat, counts = self._encode_matches(matches + list(chain.from_iterable(rest)))
+        stops = 4 * np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], ends])]
+        body, out = flat.tobytes(), [b""] * len(pieces)
+        for i, a, b in zip(joined + single, stops[:-1].tolist(), stops[1:].tolist(), strict=True):
+            out[i] = body[a:b]
+        return out
 
     # decoding
 
@@ -173,7 +197,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 @lru_cache(maxsize=2)
 def _memos(path: str, pattern: str) -> tuple[Memo, Memo]:
     words = vocabulary(path, pattern)
-    return Memo(words.encode_pieces, 1_000), Memo(lambda pieces: words.encode_pieces([" " + p for p in pieces]))
+    return Memo(words.encode_pieces, 1_000), Memo(lambda pieces: words.encode_pieces(pieces, " "))
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
@@ -194,8 +218,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
     decoded in the same pass, into a binary column of that name.
     """
     kept = [c for c in docs.columns if c not in (ids, decoded)]
-    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("body"), F.struct(*[docs[c] for c in kept]).alias("row"))
-    schema = f"ids array<int>, decoded binary, row {rows.schema['row'].dataType.simpleString()}"
+    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("body"), F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"))
+    schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), rows.schema["row"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
@@ -218,8 +242,8 @@ def decode(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids", decode
     Null ids decode to no bytes. An id outside the vocabulary is an error.
     """
     kept = [c for c in docs.columns if c != decoded]
-    rows = docs.select(F.coalesce(docs[ids], F.array().cast("array<int>")).alias("ids"), F.struct(*[docs[c] for c in kept]).alias("row"))
-    schema = f"decoded binary, row {rows.schema['row'].dataType.simpleString()}"
+    rows = docs.select(F.coalesce(docs[ids], F.array().cast("array<int>")).alias("ids"), F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"))
+    schema = T.StructType([T.StructField("decoded", T.BinaryType()), rows.schema["row"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
