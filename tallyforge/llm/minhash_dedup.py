@@ -34,6 +34,7 @@ from tallyforge.llm.pieces import slices
 SKETCH = 32
 SHARED = 10
 LIST = 16
+HUB_STEPS = 2
 WORDS_KNOWN = 400_000
 
 
@@ -157,7 +158,12 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     less, more = 100 - similarity, 100 + similarity  # share = less / more
     weight = long_.groupBy("node").agg(F.count("*").alias("lists"))
     ranked = long_.select("value", "node").join(weight, "node")
-    hubs = ranked.groupBy("value").agg(F.max(F.struct("lists", "node")).alias("top")).select("value", F.col("top.node").alias("hub"))
+    hubs = written(ranked.groupBy("value").agg(F.max(F.struct("lists", "node")).alias("top")), f"{folder}/tops")
+    # a hub may stand in a list with a better one: taking that one's place, the lists of one group get one hub
+    better = ranked.join(hubs, "value").groupBy("node").agg(F.max("top").alias("better"))
+    for _ in range(HUB_STEPS):
+        hubs = hubs.join(better, F.col("top.node") == F.col("node")).select("value", F.col("better").alias("top"))
+    hubs = hubs.select("value", F.col("top.node").alias("hub"))
     members = ranked.join(hubs, "value").where("hub <> node").select("hub", "node").distinct()
     of_hub = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
     held = members.join(sets, "node").join(of_hub, "hub")
@@ -180,7 +186,8 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     y = placed.where(F.col("left") > half).alias("y")
     needed = (F.col("x.c") + F.col("y.c")) * more - (F.col("x.n") + F.col("y.n")) * less  # times 2 * more
     fits = (F.col("x.left") * 2 * more >= needed) & (F.col("y.left") * 2 * more >= needed)
-    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.node") != F.col("y.node")) & fits)
+    once = F.when(F.col("y.outside"), F.col("x.node") < F.col("y.node")).otherwise(F.lit(True))
+    met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & once & fits & _near_size(similarity))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return linked.unionByName(_confirmed(_alike(pairs, nodes), sets, similarity))
 
@@ -225,7 +232,7 @@ def one_of_each(docs: DataFrame, *, words: int = 5, similarity: int = 80, text:
     """
     groups = near_groups(docs, words=words, similarity=similarity, text=text, id_=id_).where("kept")
     groups = groups.select(F.col("doc_id").alias("group_doc"), "text_key", "class_id").distinct()
-    row = F.struct(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(row.alias("row"), docs[id_].cast("long").alias("row_doc"), F.xxhash64(docs[text]).alias("row_key"))
     stay = rows.join(groups, F.col("row_doc").eqNullSafe(F.col("group_doc")) & (F.col("row_key") == F.col("text_key")))
     once = Window.partitionBy("row_doc", "row_key").orderBy(F.xxhash64("row"))
