@@ -194,16 +194,39 @@ def capped(examples: DataFrame, keys: Sequence[str], example: str, keep: int = 5
     return drawn.drop("_draw", "_salt")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(function, node): functions that lead each other, also over others, share a node that is named by all of them.
+
+    Only functions with rules into and out of them can be on a cycle; what these reach doubles its way each round.
+    """
+    reach = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    reach, size = cut_lineage(reach.select("a", "b")), -1
+    while (now := reach.count()) != size:
+        size = now
+        further = reach.select("a", F.col("b").alias("via")).join(reach.select(F.col("a").alias("via"), "b"), "via")
+        reach = cut_lineage(reach.unionByName(further.select("a", "b")).distinct())
+    both = reach.join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+    cycles = both.groupBy(F.col("a").alias("function")).agg(F.array_join(F.sort_array(F.collect_set("b")), "|").alias("node"))
+    functions = edges.select(F.col("a").alias("function")).unionByName(edges.select(F.col("b").alias("function"))).distinct()
+    return functions.join(cycles, "function", "left").withColumn("node", F.coalesce("node", "function"))
+
+
 def merged_chains(pairs: DataFrame) -> DataFrame:
     """Chains A, B, C, ... in which each earlier function is paired with each later one.
 
-    A chain starts where nothing leads in and is kept where nothing leads on. Pairs are
-    per precondition; each round lengthens the chains by one function.
+    A chain starts where nothing leads in and is kept where nothing leads on. Functions on a cycle have no first one:
+    they stand in the chain as one node, their names joined by ``|``, which is paired with what any of them is paired
+    with. Pairs are per precondition; each round lengthens the chains by one node.
     """
-    edges = cut_lineage(pairs.select("a", "b").distinct())
+    rules = cut_lineage(pairs.select("a", "b").distinct())
+    named = cut_lineage(contracted(rules))
+    edges = rules.join(named.select(F.col("function").alias("a"), F.col("node").alias("_a")), "a").join(
+        named.select(F.col("function").alias("b"), F.col("node").alias("_b")), "b")
+    edges = cut_lineage(edges.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
     into = edges.groupBy(F.col("b").alias("_node")).agg(F.collect_set("a").alias("_into"))
-    sources = edges.select(F.col("a").alias("node")).distinct().join(edges.select(F.col("b").alias("node")), "node", "left_anti")
-    sinks = edges.select(F.col("b").alias("last")).distinct().join(edges.select(F.col("a").alias("last")).distinct(), "last", "left_anti")
+    nodes = named.select("node").distinct()
+    sources = nodes.join(edges.select(F.col("b").alias("node")), "node", "left_anti")
+    sinks = nodes.select(F.col("node").alias("last")).join(edges.select(F.col("a").alias("last")), "last", "left_anti")
     paths = cut_lineage(sources.select(F.array("node").alias("path"), F.col("node").alias("last")))
     found = paths.join(sinks, "last", "left_semi")
     while not paths.isEmpty():

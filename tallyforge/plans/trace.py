@@ -396,6 +396,25 @@ def i19(spark, sf):
     return chains.select(F.concat_ws(">", "path").alias("chain"))
 
 
+# The query above has one direction of each pair, as its SQL does; this one has all rules.
+@query("i19_all_chains", "WITH RECURSIVE " + order_sql(True) + """,
+rules AS (SELECT subject AS a, other AS b FROM examples GROUP BY ALL HAVING sum(polarity) * 2.1::DOUBLE > count(*)),
+reach AS (SELECT a, b FROM rules UNION SELECT reach.a, rules.b FROM reach JOIN rules ON rules.a = reach.b),
+named AS (
+  SELECT f.function, coalesce(string_agg(x.b, '|' ORDER BY x.b), f.function) AS node FROM (SELECT a AS function FROM rules UNION SELECT b FROM rules) f
+  LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) x ON x.a = f.function GROUP BY f.function),
+edges AS (
+  SELECT DISTINCT x.node AS a, y.node AS b FROM rules JOIN named x ON x.function = rules.a JOIN named y ON y.function = rules.b WHERE x.node <> y.node),
+paths AS (
+  SELECT [node] AS path, node AS tip FROM (SELECT DISTINCT node FROM named) WHERE node NOT IN (SELECT b FROM edges)
+  UNION ALL
+  SELECT list_append(path, e.b), e.b FROM paths JOIN edges e ON e.a = tip
+  WHERE NOT list_contains(path, e.b) AND (SELECT count(*) FROM edges f WHERE f.b = e.b AND list_contains(path, f.a)) = len(path))
+SELECT array_to_string(path, '>') AS chain FROM paths WHERE tip NOT IN (SELECT a FROM edges)""")
+def i19_all(spark, sf):
+    return rel.merged_chains(lead_rules(spark, sf)).select(F.concat_ws(">", "path").alias("chain"))
+
+
 # --- containment ---------------------------------------------------------------------
 
 CONTAIN_SQL = "WITH " + INSIDE_SQL + """,

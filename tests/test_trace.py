@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import diff, preconditions as pc
 from tallyforge.operators import relations as rel
 from tallyforge.operators import trace as tr
+from tallyforge.plans import trace as plans
 
 
 def calls(spark, n=120, seed=0, functions="abcd"):
@@ -101,6 +102,24 @@ def test_chains_need_all_pairs(spark, rows):
     assert (["a", "b", "c", "d"],) in rows(rel.merged_chains(full))
 
 
+def test_chains_hold_cycles_as_one_node(spark, rows):
+    def chains(*pairs):
+        return [r[0] for r in rows(rel.merged_chains(spark.createDataFrame(list(pairs), "a string, b string")))]
+
+    assert chains(("view", "click")) == [["view", "click"]]
+    assert chains(("a", "b"), ("b", "a")) == [["a|b"]]
+    ring = [("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "c")]
+    assert chains(*ring) == [["c|d|e|f|g"]]
+    assert chains(*ring, ("a", "c"), ("e", "z"), ("a", "z"), ("x", "y")) == [["a", "c|d|e|f|g", "z"], ["a", "z"], ["x", "y"]]
+    assert chains(("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")) == [["a|b", "c|d"]]
+
+
+def test_registered_chains_have_rules_in_both_directions(spark, rows):
+    got = {r[0] for r in rows(plans.i19_all(spark, "/root/testdata/sf0.01"))}
+    assert "mod.view_1>mod.click_0" in got
+    assert {r[0] for r in rows(plans.i19(spark, "/root/testdata/sf0.01"))} != got
+
+
 def test_states_merge_equal_values(spark, rows):
     data = [(0, "p", "T", "x", v, t, t) for t, v in enumerate(["1", "1", "2", None, None, "1"])]
     df = spark.createDataFrame(data, "process_id long, var_name string, var_type string, attr string, value string, time long, seq long")
