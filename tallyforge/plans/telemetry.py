@@ -441,6 +441,14 @@ def a14(spark, sf):
     return stats.launch_counts(launches)
 
 
+# Clicks alone are launches above, as in the SQL; here every event is one.
+@query("a14_all_kernel_launches", """
+SELECT user_id AS pid, event_type || '_' || json_extract_string(props, '$.k') AS kernel, count(*) AS launches FROM events GROUP BY ALL""")
+def a14_all(spark, sf):
+    return stats.launch_counts(b.table(spark, sf, "events").select(
+        F.col("user_id").alias("pid"), F.concat("event_type", F.lit("_"), F.get_json_object("props", "$.k")).alias("kernel")))
+
+
 @query("a15_copy_bandwidth", """
 WITH copies AS (
   SELECT l_suppkey AS pid, l_linenumber % 5 AS kind, floor(l_extendedprice) AS bytes, CAST(l_quantity * 1000 AS BIGINT) AS ns

@@ -250,8 +250,8 @@ def i29(spark, sf):
     return df_.run_diff(rule_sets(spark, sf, False), rule_sets(spark, sf, True), 3).select("change", "left_idx", "right_idx", "keys")
 
 
-def text_patterns(spark, sf, lang):
-    lines = table(spark, sf, "documents").filter(F.col("lang") == lang).select(F.explode(F.split("text", "\n")).alias("line"))
+def text_patterns(spark, sf, run):
+    lines = table(spark, sf, "documents").filter(run).select(F.explode(F.split("text", "\n")).alias("line"))
     return lines.select(F.trim(df_.masked(F.col("line"))).alias("pattern"))
 
 
@@ -259,7 +259,16 @@ def text_patterns(spark, sf, lang):
 WITH p AS (SELECT lang, trim(regexp_replace(unnest(string_split(text, chr(10))), '\d+', '0', 'g')) AS pattern FROM documents)
 SELECT pattern FROM p WHERE lang = 'en' EXCEPT SELECT pattern FROM p WHERE lang = 'fr'""")
 def u1(spark, sf):
-    return df_.new_patterns(text_patterns(spark, sf, "fr"), text_patterns(spark, sf, "en"))
+    return df_.new_patterns(text_patterns(spark, sf, "lang = 'fr'"), text_patterns(spark, sf, "lang = 'en'"))
+
+
+# The two runs above are two of the languages, as in the SQL; here they are the even and the odd documents.
+@query("u1_all_new_patterns", r"""
+WITH p AS (SELECT coalesce(doc_id, 0) % 2 <> 0 AS second, trim(regexp_replace(unnest(string_split(text, chr(10))), '\d+', '0', 'g')) AS pattern FROM documents)
+SELECT pattern FROM p WHERE second EXCEPT SELECT pattern FROM p WHERE NOT second""")
+def u1_all(spark, sf):
+    second = "coalesce(doc_id, 0) % 2 <> 0"
+    return df_.new_patterns(text_patterns(spark, sf, f"not ({second})"), text_patterns(spark, sf, second))
 
 
 @query("f7_masked_texts", r"""

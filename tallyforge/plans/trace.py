@@ -264,9 +264,9 @@ accesses AS (SELECT DISTINCT user_id % 4 AS process_id, user_id * 10 + CAST(json
 related AS (SELECT s.process_id, s.call_id, s.obj_id, var_name, var_type FROM short s JOIN accesses USING (process_id, obj_id))"""
 
 
-def related(spark, sf):
+def related(spark, sf, accessing="event_type = 'click'"):
     user = F.col("user_id")
-    accesses = table(spark, sf, "events").filter("event_type = 'click'").select(
+    accesses = table(spark, sf, "events").filter(accessing).select(
         (user % 4).alias("process_id"), (user * 10 + b.prop_k() % 3).alias("obj_id"),
         F.concat(F.lit("p"), F.floor(user / 4).cast("string")).alias("var_name"),
         F.concat(F.lit("layer_"), F.floor(user / 8).cast("string")).alias("var_type"))
@@ -285,6 +285,22 @@ def j10(spark, sf):
     return tr.unchanged_related(related(spark, sf), changed(spark, sf)).select("call_id", "process_id", "var_name", "var_type")
 
 
+# The two queries above take clicks for accesses, as their SQL does; in these every event is one.
+ALL_RELATED_SQL = RELATED_SQL.replace(" WHERE event_type = 'click'", "")
+
+
+@query("i5_all_related_variables", "WITH " + ALL_RELATED_SQL + "\nSELECT process_id, call_id, obj_id, var_name, var_type FROM related")
+def i5_all(spark, sf):
+    return related(spark, sf, "true").select("process_id", "call_id", "obj_id", "var_name", "var_type")
+
+
+@query("j10_all_unchanged_related", "WITH " + ALL_RELATED_SQL + """
+SELECT call_id, process_id, var_name, var_type FROM related r WHERE NOT EXISTS (
+  SELECT 1 FROM changed c WHERE c.parent_id = r.call_id AND c.process_id = r.process_id AND c.var_name = r.var_name AND c.var_type = r.var_type)""")
+def j10_all(spark, sf):
+    return tr.unchanged_related(related(spark, sf, "true"), changed(spark, sf)).select("call_id", "process_id", "var_name", "var_type")
+
+
 @query("i6_raw_records_before", "WITH " + STATES_SQL + """,
 moments AS (SELECT process_id, var_name, var_type, max(time) - 432000000000 AS moment FROM vars GROUP BY ALL)
 SELECT v.process_id, v.var_name, v.attr, v.time, moment FROM vars v JOIN moments m USING (process_id, var_name, var_type) WHERE v.time < moment""")
@@ -743,8 +759,8 @@ def i22(spark, sf):
     return pc.base_clauses(pc.local_clauses(example_fields(spark, sf)))
 
 
-def learned(spark, sf):
-    return pc.infer(example_fields(spark, sf, 0), ["function"])
+def learned(spark, sf, run=None):
+    return pc.infer(example_fields(spark, sf, run), ["function"])
 
 
 @query("i23_preconditions")
@@ -784,7 +800,7 @@ def i26(spark, sf):
 def judged(spark, sf):
     fields = example_fields(spark, sf, 1)
     local = pc.local_clauses(pc.relevant_fields(fields, ["function"]))
-    return fields, pc.holds_for(local, learned(spark, sf))
+    return fields, pc.holds_for(local, learned(spark, sf, 0))
 
 
 @query("p9_p10_preconditions_hold")

@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from tallyforge.operators import diff, preconditions as pc
 from tallyforge.operators import relations as rel
 from tallyforge.operators import trace as tr
+from tallyforge.plans import telemetry, text
 from tallyforge.plans import trace as plans
+from tallyforge.plans.registry import table
 
 
 def calls(spark, n=120, seed=0, functions="abcd"):
@@ -120,6 +123,30 @@ def test_registered_chains_have_rules_in_both_directions(spark, rows):
     assert {r[0] for r in rows(plans.i19(spark, "/root/testdata/sf0.01"))} != got
 
 
+def test_preconditions_are_learned_from_all_calls(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(pc, "infer", lambda fields, skip: given.append(fields))
+    plans.learned(spark, "/root/testdata/sf0.001")
+    calls_ = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert given[0].select("example").distinct().count() == calls_
+
+
+def test_events_of_every_type_are_accesses(spark, monkeypatch):
+    monkeypatch.setattr(plans, "table", lambda spark, sf, name: table(spark, sf, name).filter("event_type <> 'click'"))
+    assert plans.i5(spark, "/root/testdata/sf0.001").isEmpty()
+    assert not plans.i5_all(spark, "/root/testdata/sf0.001").isEmpty()
+
+
+def test_all_rows_have_a_role(spark, rows):
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    launches = telemetry.a14_all(spark, sf)
+    assert launches.agg(F.sum("launches")).first()[0] == events.count()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd, even = ({line for (t,) in docs.filter(f"doc_id % 2 = {n}").select("text").collect() for line in re.sub(r"\d+", "0", t or "").split("\n")} for n in (1, 0))
+    assert {r[0] for r in rows(text.u1_all(spark, sf))} == {x.strip(" ") for x in odd} - {x.strip(" ") for x in even}
+
+
 def test_states_merge_equal_values(spark, rows):
     data = [(0, "p", "T", "x", v, t, t) for t, v in enumerate(["1", "1", "2", None, None, "1"])]
     df = spark.createDataFrame(data, "process_id long, var_name string, var_type string, attr string, value string, time long, seq long")
