@@ -18,10 +18,11 @@ SURE = 0.5
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is of a learned language; null texts, texts without letters and undecided ones go.
 
+    So do texts that are far less likely, letter by letter, under their best language than its labelled texts are.
     Rows without a label are judged like all others, and no row's own label is an input of its prediction.
     """
     predicted = language.predict(docs, language.train(docs, PIECES))
-    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("row.*")
+    return predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE) & F.col("usual")).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 MAX_PIECE = 8
 UNKNOWN = 1e-6
+FAR = 6.0  # standard deviations that a text's mean log likelihood a letter may lie below its language's
+LEAST_SPREAD = 0.1  # of that likelihood among the texts of one language, however alike the labelled ones are
 LIFT = 20.0  # each letter's probability is scaled by this, so that products stay in range
 ROWS = 20_000
 MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
@@ -83,6 +85,7 @@ class Model:
     languages: list[str]
     table: HashTable
     probabilities: np.ndarray  # [pieces + 1, languages], already lifted by LIFT ** length
+    usual: np.ndarray | None = None  # [languages, 3]: log likelihood a letter, its variance among texts, and that of a single letter
 
     def spans(self, codes: np.ndarray) -> list[list[np.ndarray]]:
         """[start][length - 1] -> row of the piece that covers those letters, or -1."""
@@ -113,6 +116,13 @@ class Model:
             before.append(total)
         return before
 
+    def floor(self, language: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The least log likelihood a letter that a text of so many letters has if it is of the language."""
+        if self.usual is None:
+            return np.full(len(language), -np.inf)
+        mean, among, single = self.usual[language].T
+        return mean - FAR * np.sqrt(np.maximum(among, LEAST_SPREAD ** 2) + single / letters)
+
     def score(self, words: list[str]) -> np.ndarray:
         """[words, languages + 1]: log likelihood under each language, then the number of letters."""
         out = np.zeros((len(words), len(self.languages) + 1))
@@ -165,6 +175,39 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                          schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
 
+def _text_sums(model: Model, memo: Memo, texts: list[str]) -> np.ndarray:
+    """[texts, languages + 1]: what Model.score gives, summed over the words of each text."""
+    words = [text.lower().split() for text in texts]
+    memo.learn(chain.from_iterable(words))
+    return np.vstack([np.frombuffer(b"".join(map(memo.__getitem__, w))).reshape(-1, len(model.languages) + 1).sum(axis=0) for w in words])
+
+
+def _usual(chosen: DataFrame, model: Model) -> np.ndarray:
+    """What the labelled texts show under their own language: Model.usual, from four totals of each language."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, at = shared.value, {name: i for i, name in enumerate(shared.value.languages)}
+        memo, out = Memo(lambda words: [row.tobytes() for row in model.score(words)]), np.zeros((len(at), 4))
+        for part in slices(batches, 1):
+            sums = _text_sums(model, memo, part.column(1).to_pylist())
+            own, letters = np.array([at[x] for x in part.column(0).to_pylist()]), sums[:, -1]
+            likely, n = sums[np.arange(len(own)), own], np.maximum(letters, 1)
+            np.add.at(out, own, np.stack([letters > 0, letters, likely, likely * likely / n], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), *map(pa.array, out.T)], ["language", "texts", "letters", "likely", "squares"])
+
+    schema = "language int, texts double, letters double, likely double, squares double"
+    got = chosen.mapInArrow(totals, schema).groupBy("language").sum("texts", "letters", "likely", "squares").toPandas().to_numpy()
+    sums = np.zeros((len(model.languages), 4))
+    sums[got[:, 0].astype(int)] = got[:, 1:]
+    texts, letters, likely, squares = sums.T
+    mean = likely / np.maximum(letters, 1)
+    apart = np.maximum(squares - mean * likely, 0)
+    usual = np.stack([mean, apart / np.maximum(letters, 1), apart / np.maximum(texts, 1)], axis=1)
+    usual[texts == 0] = [-np.inf, 0, 0]  # no text with letters: nothing is known of it
+    return usual
+
+
 def train(labelled: DataFrame, path: str, *, text: str = "text", lang: str = "lang", id_: str = "doc_id",
           sample: int = 2000, rounds: int = 3, max_languages: int = 256) -> Model:
     """Fit the model on labelled rows (rows without label or text are left out).
@@ -212,34 +255,40 @@ def train(labelled: DataFrame, path: str, *, text: str = "text", lang: str = "la
         uses = np.zeros_like(uses)
         got = sums.toPandas()
         uses[got["piece"], got["language"]] = got["uses"]
-    return Model(languages, table, _probabilities(uses, pieces))
+    model = Model(languages, table, _probabilities(uses, pieces))
+    model.usual = _usual(chosen, model)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", carry: list[Column] | None = None) -> DataFrame:
-    """Columns `carry` of each row of `docs` (default: all, in a struct `row`), then lang_pred and score.
+    """Columns `carry` of each row of `docs` (default: all, in a struct `row`), then lang_pred, score and usual.
 
-    The score is the posterior of the best language under equal priors. Null text, text without any letter, and every
-    text if no language was learned, get `und` and 0. Ties go to the language first by name. The whole text
+    The score is the posterior of the best language under equal priors; a text of no learned language has one too.
+    `usual` tells whether the text is, letter by letter, about as likely under that language as its labelled texts are. Null text, text without any letter, and every
+    text if no language was learned, get `und`, 0 and false. Ties go to the language first by name. The whole text
     counts; repeated rows keep a row each; an empty table gives no rows.
     """
     carried = F.struct(*(carry if carry is not None else [docs[f"`{c}`"] for c in docs.columns]))
     rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("body"), carried.alias("row"))
-    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), rows.schema["row"]])
+    schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("usual", T.BooleanType()), rows.schema["row"]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         memo = Memo(lambda words: [row.tobytes() for row in model.score(words)])
         for part in slices(batches, 0):
-            words = [body.lower().split() for body in part.column(0).to_pylist()]
-            memo.learn(chain.from_iterable(words))
-            sums = np.vstack([np.frombuffer(b"".join(map(memo.__getitem__, w))).reshape(-1, len(model.languages) + 1).sum(axis=0) for w in words])
+            sums = _text_sums(model, memo, part.column(0).to_pylist())
             spoken = (sums[:, -1] > 0) & (len(model.languages) > 0)
-            names, scores = np.full(len(words), "und", object), np.zeros(len(words))
+            names, scores = np.full(len(sums), "und", object), np.zeros(len(sums))
+            usual = np.zeros(len(sums), bool)
             if spoken.any():
                 logs = sums[spoken, :-1]
-                names[spoken] = np.array(model.languages, object)[logs.argmax(axis=1)]
+                best, letters = logs.argmax(axis=1), sums[spoken, -1]
+                names[spoken] = np.array(model.languages, object)[best]
+                usual[spoken] = logs.max(axis=1) / letters >= model.floor(best, letters)
                 scores[spoken] = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores), part.column(1)], ["lang_pred", "score", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(usual), part.column(1)],
+                                              ["lang_pred", "score", "usual", "row"])
 
     return rows.mapInArrow(run, schema)

@@ -62,6 +62,17 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         assert (r.decoded_text, r.n_tokens) == (r.text, len(r.token_ids))
 
 
+def test_unlearned_languages_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Студенты читают много книг в библиотеке города, а потом возвращаются домой, когда наступает ночь.",
+               "Gli studenti leggono molti libri nella biblioteca della città e poi tornano a casa quando scende la notte.",
+               "学生们在城市的图书馆里读很多书,然后在夜晚来临时回家。"]
+    more = spark.createDataFrame([(-1 - i, text, None) for i, text in enumerate(foreign)], docs.schema)
+    kept = corpus_pipeline.keep_known_languages(spark, docs.unionByName(more), "").collect()
+    spoken = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert sorted(r.doc_id for r in kept) == sorted(spoken)
+
+
 def test_run_joins_the_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == [*COLUMNS, "token_ids", "n_tokens", "decoded_text"]
