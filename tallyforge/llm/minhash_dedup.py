@@ -228,13 +228,14 @@ def near_groups(docs: DataFrame, *, words: int = 5, similarity: int = 80, text:
 def one_of_each(docs: DataFrame, *, words: int = 5, similarity: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, all columns: one for each group. Rows without words all stay.
 
-    Of several kept rows in one group (a repeated id, or no id at all) the first by its columns' hash stays.
+    Of several kept rows in one group (a repeated id, or no id at all) the first by its text's key and its columns' hash stays.
     """
     groups = near_groups(docs, words=words, similarity=similarity, text=text, id_=id_).where("kept")
     groups = groups.select(F.col("doc_id").alias("group_doc"), "text_key", "class_id").distinct()
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(row.alias("row"), docs[id_].cast("long").alias("row_doc"), F.xxhash64(docs[text]).alias("row_key"))
     stay = rows.join(groups, F.col("row_doc").eqNullSafe(F.col("group_doc")) & (F.col("row_key") == F.col("text_key")))
-    once = Window.partitionBy("row_doc", "row_key").orderBy(F.xxhash64("row"))
-    turn = F.when(F.col("class_id").isNull(), F.lit(1)).otherwise(F.row_number().over(once))
-    return stay.withColumn("turn", turn).where("turn = 1").select("row.*")
+    # rows without words have no class; a number of their own keeps them apart
+    stay = stay.withColumn("lone", F.when(F.col("class_id").isNull(), F.monotonically_increasing_id()))
+    first = F.min_by("row", F.struct("row_doc", "row_key", F.xxhash64("row")))
+    return stay.groupBy("class_id", "lone").agg(first.alias("row")).select("row.*")

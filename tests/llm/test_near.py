@@ -88,6 +88,16 @@ def test_one_of_each(make_docs, odd_rows):
     assert {k: v for k, v in found.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
 
 
+def test_one_of_near_copies_without_an_id_or_with_one_id(make_docs):
+    words = [f"w{i}" for i in range(80)]
+    copies = [" ".join([*words[:i], "edited", *words[i + 1:]]) for i in (3, 40, 77)]
+    other = [" ".join(f"{w}x" for w in text.split(" ")) for text in copies]
+    rows = [*[(None, text) for text in copies], *[(7, text) for text in other], (None, None), (None, None), (8, " "), (8, " ")]
+    got = minhash_dedup.one_of_each(make_docs(rows)).collect()
+    assert sorted(repr(r.doc_id) for r in got) == ["7", "8", "8", "None", "None", "None"]
+    assert sum(r.text in copies for r in got) == sum(r.text in other for r in got) == 1
+
+
 def test_empty_table(make_docs):
     assert minhash_dedup.near_groups(make_docs([])).collect() == []
     assert minhash_dedup.one_of_each(make_docs([])).collect() == []
