@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, exact_dedup, fingerprints, language, minhash_dedup, mixing, sharding, suffix_dedup, token_counts, url_filter
+from tallyforge.llm import (
+    byte_bpe, decontamination, exact_dedup, fingerprints, language, minhash_dedup, mixing, sharding, suffix_dedup, token_counts, url_filter)
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -107,7 +108,37 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents),
+i as (
+  select coalesce(cast(item_id as varchar), '') as item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from benchmark),
+spots as (select item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as p from i where len(ws) > 0),
+phrases as (select distinct item, least(len(ws), 10) as size, array_to_string(ws[p:p + 9], ' ') as phrase from spots),
+sizes as (select distinct size from phrases),
+places as (select r, ws, size, unnest(range(1, len(ws) - size + 2)) as p from d, sizes where len(ws) >= size),
+met as (
+  select r, p, size, item from (select r, p, size, array_to_string(ws[p:p + size - 1], ' ') as phrase from places)
+  join phrases using (size, phrase)),
+hit as (select r, count(distinct w) as n_hit from (select r, unnest(range(p, p + size)) as w from (select distinct r, p, size from met)) group by r),
+named as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from met) group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (r) left join named using (r)
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_mixing, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding,
-    op8_url_filter, op9_byte_bpe, op10_minhash_dedup)}
-SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
+    op8_url_filter, op9_byte_bpe, op10_minhash_dedup, op12_decontamination)}
+SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL, "op12_decontamination": OP12_SQL}
