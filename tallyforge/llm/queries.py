@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import (
-    byte_bpe, decontamination, exact_dedup, fingerprints, language, minhash_dedup, mixing, sharding, suffix_dedup, token_counts, url_filter)
+    byte_bpe, conversation_repair, decontamination, exact_dedup, fingerprints, language, minhash_dedup, mixing, sharding, suffix_dedup,
+    token_counts, url_filter)
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -138,7 +139,13 @@ from d left join hit using (r) left join named using (r)
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(conversation_repair.damaged(conversations), conversations.select("conv_id"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_mixing, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding,
-    op8_url_filter, op9_byte_bpe, op10_minhash_dedup, op12_decontamination)}
+    op8_url_filter, op9_byte_bpe, op10_minhash_dedup, op12_decontamination,
+    op13_conversation_repair)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL, "op12_decontamination": OP12_SQL}
