@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import (
     byte_bpe, conversation_repair, decontamination, exact_dedup, fingerprints, language, minhash_dedup, mixing, sharding, suffix_dedup,
-    token_counts, url_filter)
+    token_counts, url_filter, whitening)
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -109,6 +109,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -146,6 +150,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_mixing, op4_token_counts, op5_suffix_dedup, op6_fingerprints, op7_sharding,
-    op8_url_filter, op9_byte_bpe, op10_minhash_dedup, op12_decontamination,
+    op8_url_filter, op9_byte_bpe, op10_minhash_dedup, op11_whitening, op12_decontamination,
     op13_conversation_repair)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op8_url_filter": OP8_SQL, "op12_decontamination": OP12_SQL}
