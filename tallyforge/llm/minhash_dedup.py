@@ -10,7 +10,9 @@
    Two members that are linked with the hub are in one group anyway. For the others the differences from the hub are
    compared: with c elements that only one of a class and its hub has, two classes differ in c1 + c2 - 2 * common
    elements, so linked classes must share many differences, and if one of them is not linked with the hub, one of the
-   rarest half of the other's. A pair is formed only where such a difference stands early enough in both.
+   rarest half of the other's. The holders of such a difference first get a hub of their own, and what is linked by now
+   is one part. A pair is formed only between two parts, where a difference stands early enough in both, and where the
+   parity bits of their differences do not prove them too far apart.
 4. The union of two sketches estimates the similarity of a pair and drops the hopeless ones; the others are
    confirmed on their full sets. Components of the confirmed links are the groups.
 """
@@ -174,24 +176,50 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     linked = held.where("not outside").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
     unsettled = held.where("outside").select("hub").distinct()
-    elements = held.join(unsettled, "hub").select("hub", "node", "n", "hub_n", "c", "outside", F.explode("apart").alias("element"))
+    kept = ["hub", "node", "n", "hub_n", "c", "outside"]
+    elements = held.join(unsettled, "hub").select(*kept, *_marks("apart"), F.explode("apart").alias("element"))
     common = elements.groupBy("hub", "element").agg(F.count("*").alias("holders")).where("holders > 1")
     mine = Window.partitionBy("hub", "node")
     placed = elements.join(common, ["hub", "element"])
     # differences that no other member has come first; `left` counts this one and those behind it
     at = F.col("c") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "element"))
-    placed = written(placed.select("hub", "node", "n", "hub_n", "c", "outside", "element", (F.col("c") - at + 1).alias("left")), f"{folder}/differences")
-    x = placed.where("outside").alias("x")
+    placed = placed.select(*kept, *MARKS, "element", (F.col("c") - at + 1).alias("left"))
     half = F.floor((F.col("c") * more + (F.col("hub_n") - F.col("n")) * less) / (2 * more))
-    y = placed.where(F.col("left") > half).alias("y")
+    early = F.col("left") * 2 * more >= F.col("c") * more - (F.col("n") + F.col("hub_n")) * less
+    placed = written(placed.withColumn("first", F.col("left") > half).where(F.col("first") | F.col("outside") & early), f"{folder}/differences")
+
+    # the members with one difference in common get a hub of their own, which joins those that are close to each other
+    second = placed.where("first").groupBy("hub", "element").agg(F.min_by(F.struct("node", "n", *MARKS), F.xxhash64("node")).alias("y"))
+    near = placed.join(second, ["hub", "element"]).where(F.col("y.node") != F.col("node")).where(
+        _marks_apart(F.col, lambda m: F.col(f"y.{m}")) * more <= (F.col("n") + F.col("y.n")) * less)
+    near = near.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
+    linked = linked.unionByName(written(_confirmed(_alike(near, nodes), sets, similarity), f"{folder}/second"))
+    labels = written(components(linked, f"{folder}/parts"), f"{folder}/part_labels")
+    placed = placed.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node")).drop("label")
+
+    x, y = placed.where("outside").alias("x"), placed.where("first").alias("y")
     needed = (F.col("x.c") + F.col("y.c")) * more - (F.col("x.n") + F.col("y.n")) * less  # times 2 * more
     fits = (F.col("x.left") * 2 * more >= needed) & (F.col("y.left") * 2 * more >= needed)
-    once = F.when(F.col("y.outside"), F.col("x.node") < F.col("y.node")).otherwise(F.lit(True))
+    fits = fits & (_marks_apart(lambda m: F.col(f"x.{m}"), lambda m: F.col(f"y.{m}")) * more <= (F.col("x.n") + F.col("y.n")) * less)
+    once = F.when(F.col("y.outside"), F.col("x.node") < F.col("y.node")).otherwise(F.lit(True)) & (F.col("x.part") != F.col("y.part"))
     met = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.element") == F.col("y.element")) & once & fits & _near_size(similarity))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return linked.unionByName(_confirmed(_alike(pairs, nodes), sets, similarity))
 
 
+MARKS = [f"mark{i}" for i in range(8)]
+
+
+def _marks(array: str) -> list:
+    """512 bits of a set, each element turning one: two sets differ in at least as many elements as their bits do."""
+    return [F.expr(f"aggregate({array}, 0L, (s, e) -> if((shiftright(e, 6) & 7) = {i}, s ^ shiftleft(1L, cast(e & 63 as int)), s))").alias(m)
+            for i, m in enumerate(MARKS)]
+
+
+def _marks_apart(x, y):
+    return sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MARKS), F.lit(0))
+
+
 def near_groups(docs: DataFrame, *, words: int = 5, similarity: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """One row for each row of `docs`: doc_id, text_key, n_shingles, class_id, component_id, kept.
 
