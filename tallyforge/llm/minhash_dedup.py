@@ -9,8 +9,8 @@
    paired: each has a hub, the class that stands in most long lists, and each member is compared with the hub alone.
    Two members that are linked with the hub are in one group anyway. For the others the differences from the hub are
    compared: with c elements that only one of a class and its hub has, two classes differ in c1 + c2 - 2 * common
-   elements, so linked classes must share many differences, and if one of them is not linked with the hub, one of the
-   rarest half of the other's. The holders of such a difference first get a hub of their own, and what is linked by now
+   elements, so linked classes have about as many differences each and share most of them, one of the first few in any
+   order; if one of them is not linked with the hub, one of the first half of the other's. The holders of such a difference first get a hub of their own, and what is linked by now
    is one part. A pair is formed only between two parts, where a difference stands early enough in both, and where the
    parity bits of their differences do not prove them too far apart.
 4. The union of two sketches estimates the similarity of a pair and drops the hopeless ones; the others are
@@ -25,9 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tallyforge.llm.common import work_folder, written
 from tallyforge.llm.components import components
@@ -37,6 +36,10 @@ SKETCH = 32
 SHARED = 10
 LIST = 16
 HUB_STEPS = 2
+#: Members of a hub that are compared with one copy of it.
+SHARE = 256
+#: Names of the parity bits of a member's differences.
+MARKS = [f"mark{i}" for i in range(8)]
 WORDS_KNOWN = 400_000
 
 
@@ -167,29 +170,42 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
         hubs = hubs.join(better, F.col("top.node") == F.col("node")).select("value", F.col("better").alias("top"))
     hubs = hubs.select("value", F.col("top.node").alias("hub"))
     members = ranked.join(hubs, "value").where("hub <> node").select("hub", "node").distinct()
-    of_hub = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items"))
-    held = members.join(sets, "node").join(of_hub, "hub")
-    apart = F.concat(F.array_except("items", "hub_items"), F.array_except("hub_items", "items"))
-    held = held.select("hub", "node", F.size("items").alias("n"), F.size("hub_items").alias("hub_n"), apart.alias("apart"))
-    held = held.withColumn("c", F.size("apart")).withColumn("outside", F.col("c") * more > (F.col("n") + F.col("hub_n")) * less)
+    # a hub with many members is dealt to them in as many copies
+    shares = members.groupBy("hub").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    members = members.join(shares, "hub").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("items").alias("hub_items")).join(shares, "hub").select(
+        "hub", "hub_items", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    held = members.join(sets, "node").join(of_hub, ["hub", "share"])
+    held = held.select("hub", "node", F.size("items").alias("n"), F.size("hub_items").alias("hub_n"), F.array_except("items", "hub_items").alias("gained"),
+                       F.array_except("hub_items", "items").alias("lost"))
+    held = held.withColumns({"g": F.size("gained"), "c": F.size("gained") + F.size("lost")})
+    held = held.withColumn("outside", F.col("c") * more > (F.col("n") + F.col("hub_n")) * less)
     held = written(held, f"{folder}/hubs")
     linked = held.where("not outside").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
 
     unsettled = held.where("outside").select("hub").distinct()
-    kept = ["hub", "node", "n", "hub_n", "c", "outside"]
-    elements = held.join(unsettled, "hub").select(*kept, *_marks("apart"), F.explode("apart").alias("element"))
-    common = elements.groupBy("hub", "element").agg(F.count("*").alias("holders")).where("holders > 1")
+    # linked classes have about as many differences each, so they share one of the first `reach`. What is not in the hub
+    # comes first, the rarest ahead; what only the hub has is lacking in most members and comes last
+    reach = F.floor(F.col("n") * less / similarity) + 1
+    kept = ["hub", "node", "n", "hub_n", "g", "c", "outside"]
+    open_ = held.join(unsettled, "hub", "left_semi")
+    gained = open_.select(*kept, F.explode("gained").alias("element"))
+    common = gained.groupBy("hub", "element").agg(F.count("*").alias("holders")).where("holders > 1")
+    lost = open_.where(F.col("g") < reach).select(*kept, F.posexplode(F.slice(F.array_sort("lost"), F.lit(1), (reach - F.col("g")).cast("int"))).alias("after", "element"))
+    placed = gained.join(common, ["hub", "element"]).withColumn("after", F.lit(None).cast("int")).unionByName(
+        lost.withColumn("holders", F.lit(None).cast("long")))
     mine = Window.partitionBy("hub", "node")
-    placed = elements.join(common, ["hub", "element"])
-    # differences that no other member has come first; `left` counts this one and those behind it
-    at = F.col("c") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "element"))
-    placed = placed.select(*kept, *MARKS, "element", (F.col("c") - at + 1).alias("left"))
+    # differences that no other member has come before all; `left` counts this one and those behind it
+    alone = F.col("g") - F.count("holders").over(mine)
+    at = F.when(F.col("holders").isNull(), F.col("g") + F.col("after") + 1).otherwise(alone + F.row_number().over(mine.orderBy(F.col("holders").asc_nulls_last(), "element")))
+    placed = placed.select(*kept, alone.alias("alone"), *_marks(F.col("element"), mine), "element", at.alias("at")).where(F.col("at") <= reach)
+    placed = placed.withColumn("left", F.col("c") - F.col("at") + 1)
     half = F.floor((F.col("c") * more + (F.col("hub_n") - F.col("n")) * less) / (2 * more))
     early = F.col("left") * 2 * more >= F.col("c") * more - (F.col("n") + F.col("hub_n")) * less
     placed = written(placed.withColumn("first", F.col("left") > half).where(F.col("first") | F.col("outside") & early), f"{folder}/differences")
 
     # the members with one difference in common get a hub of their own, which joins those that are close to each other
-    second = placed.where("first").groupBy("hub", "element").agg(F.min_by(F.struct("node", "n", *MARKS), F.xxhash64("node")).alias("y"))
+    second = placed.where("first").groupBy("hub", "element").agg(F.min_by(F.struct("node", "n", "g", "c", "alone", *MARKS), F.xxhash64("node")).alias("y"))
     near = placed.join(second, ["hub", "element"]).where(F.col("y.node") != F.col("node")).where(
         _marks_apart(F.col, lambda m: F.col(f"y.{m}")) * more <= (F.col("n") + F.col("y.n")) * less)
     near = near.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
@@ -207,17 +223,16 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     return linked.unionByName(_confirmed(_alike(pairs, nodes), sets, similarity))
 
 
-MARKS = [f"mark{i}" for i in range(8)]
-
-
-def _marks(array: str) -> list:
-    """512 bits of a set, each element turning one: two sets differ in at least as many elements as their bits do."""
-    return [F.expr(f"aggregate({array}, 0L, (s, e) -> if((shiftright(e, 6) & 7) = {i}, s ^ shiftleft(1L, cast(e & 63 as int)), s))").alias(m)
-            for i, m in enumerate(MARKS)]
+def _marks(element: Column, mine: WindowSpec) -> list[Column]:
+    """512 bits of the elements not in the hub, each turning one: two sets differ in at least as many elements as their bits do."""
+    word, bit = F.shiftright(element, 6).bitwiseAND(F.lit(7)), F.expr("shiftleft(1L, cast(element & 63 as int))")
+    return [F.bit_xor(F.when((word == i) & F.col("holders").isNotNull(), bit).otherwise(F.lit(0).cast("long"))).over(mine).alias(m) for i, m in enumerate(MARKS)]
 
 
 def _marks_apart(x, y):
-    return sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MARKS), F.lit(0))
+    """A lower bound of the elements in which two members differ: those that either holds alone, the bits of the others,
+    and the difference in how many of the hub's they lack."""
+    return sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MARKS), x("alone") + y("alone") + F.abs(x("c") - x("g") - y("c") + y("g")))
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, similarity: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
