@@ -6,15 +6,13 @@ has hypothesis, polarity (1 or 0), example, record; a record is a row of the tra
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators import trace as tr
-from tallyforge.ordered import following
+from tallyforge.ordered import following, hot_keys, previous
 from tallyforge.session import cut_lineage
 
 # Limits of the relations.
@@ -25,8 +23,6 @@ PERIODIC_COUNT = 5
 THRESHOLD_REACH = 0.2
 MERGE_RATIO = 1.3
 FLOAT_TOLERANCE = 1e-8
-# Calls of one thread handled by one task when neighbours are looked up.
-CHUNK = 200_000
 SALTS = 64
 
 
@@ -37,94 +33,29 @@ def likelihood(positives: Column, negatives: Column) -> Column:
 
 # --- order: cover and lead (I14, I15, I16) -------------------------------------------
 
-def _recent_at_chunk_start(placed: DataFrame) -> DataFrame:
-    """Per thread and chunk: each function called before it with its last position."""
-    last = placed.groupBy(*tr.THREAD, "chunk", "function").agg(F.max("pos").alias("at"))
-    chunks = placed.groupBy(*tr.THREAD).agg(F.max("chunk").alias("_last"))
-    seen = following(last, [*tr.THREAD, "function"], [F.col("chunk")], {"_next": F.col("chunk")}).join(chunks, tr.THREAD)
-    until = F.coalesce("_next", "_last")
-    return seen.filter(F.col("chunk") < until).select(
-        *tr.THREAD, "function", "at", F.explode(F.sequence(F.col("chunk") + 1, until)).alias("chunk"))
-
-
-def _in_chunks(pre_records: DataFrame, chunk: int, max_rows: int | None, backwards: bool) -> tuple[DataFrame, list[str]]:
-    """Calls by thread and chunk in order, each chunk after the functions called before it (``_kind`` 0) by recency."""
-    placed = tr.positions(pre_records, max_rows, backwards).withColumn("chunk", F.floor((F.col("pos") - 1) / chunk))
-    keys = [*tr.THREAD, "chunk"]
-    rows = placed.select(*keys, "pos", "call_id", "function", F.lit(1).alias("_kind"))
-    border = _recent_at_chunk_start(placed).select(
-        *keys, F.col("at").alias("pos"), F.lit(None).cast("string").alias("call_id"), "function", F.lit(0).alias("_kind"))
-    # Light in bytes but heavy to compute, so spread over all partitions; a task walks its
-    # threads one after the other and holds no more than the functions of one.
-    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.unionByName(border).repartition(parts, *keys).sortWithinPartitions(*keys, "_kind", "pos"), keys
-
-
-def _turn(recent: list[str], name: str) -> list[str]:
-    """The functions called since the last call of ``name``, which moves to the front of the recency order."""
-    place = recent.index(name) if name in recent else len(recent)
-    since = recent[:place]
-    if place < len(recent):
-        del recent[place]
-    recent.insert(0, name)
-    return since
-
-
-def called_since(pre_records: DataFrame, chunk: int = CHUNK, max_rows: int | None = None,
-                 backwards: bool = False) -> DataFrame:
-    """Calls with ``pos`` and ``since``: the functions called on the thread after the last
-    call of the same function (or from the start), each once, the latest first.
-
-    Keeping functions by recency, these are the ones ahead of the function itself. A
-    thread is cut into chunks; a chunk starts from the recency order at its border.
-    """
-    rows, keys = _in_chunks(pre_records, chunk, max_rows, backwards)
-    types = dict(rows.dtypes)
-    out = [*keys, "pos", "call_id", "function"]
-
-    def walk(batches):
-        group, recent = None, []
-        for part in batches:
-            since = []
-            for *key, name in zip(*(part[k] for k in keys), part["function"], strict=True):
-                if key != group:
-                    group, recent = key, []
-                since.append(_turn(recent, name))
-            yield part[out].assign(since=since)[part["_kind"].to_numpy() == 1]
-
-    return rows.mapInPandas(walk, ", ".join(f"{c} {types[c]}" for c in out) + ", since array<string>")
-
-
-def _since_counts(pre_records: DataFrame, chunk: int, max_rows: int | None, backwards: bool) -> DataFrame:
-    """Per thread, how many calls of ``subject`` had a call of ``other`` since the last one (``_matched``).
+def partner_met(calls: DataFrame, pairs: DataFrame, follows: bool, max_rows: int | None = None) -> DataFrame:
+    """Each call of a pair's subject with ``met``: a call of the other comes between it and the subject's next call
+    (``follows``), or its last one.
 
-    Counted while a chunk is walked, so only sums leave it; they leave early when there are many.
+    ``pairs`` has subject and other, and the thread's columns where it holds for one thread. In the calls of both
+    functions, in order, the other must be the very next: one sort of (thread, pair), and no call walks a list of functions.
     """
-    rows, keys = _in_chunks(pre_records, chunk, max_rows, backwards)
-    types = dict(rows.dtypes)
-    names = [*tr.THREAD, "subject", "other", "_matched"]
-
-    def walk(batches):
-        group, recent, sums = None, [], Counter()
-
-        def out():
-            return pd.DataFrame([(*thread, subject, other, n) for (thread, subject, other), n in sums.items()], columns=names)
+    order = [F.col("start"), F.col("call_id")]
+    on = [c for c in tr.THREAD if c in pairs.columns]
+    names = [*tr.THREAD, "subject", "other"]
+    rows = calls.select(*tr.THREAD, "function", "start", "call_id")
 
-        for part in batches:
-            for *key, name, kind in zip(*(part[k] for k in keys), part["function"], part["_kind"], strict=True):
-                if key != group:
-                    group, recent = key, []
-                since = _turn(recent, name)
-                if kind:
-                    sums.update((tuple(key[:-1]), name, other) for other in since)
-            if len(sums) > CHUNK:
-                yield out()
-                sums.clear()
-        yield out()
+    def side(name: str, is_other: bool) -> DataFrame:
+        return rows.withColumnRenamed("function", name).join(pairs, [*on, name]).select(
+            *names, "start", "call_id", F.lit(is_other).alias("_other"))
 
-    schema = ", ".join(f"{c} {types[c]}" for c in tr.THREAD) + ", subject string, other string, _matched long"
-    summed = rows.mapInPandas(walk, schema)
-    return summed.groupBy(*tr.THREAD, "subject", "other").agg(F.sum("_matched").alias("_matched"))
+    merged = side("subject", False).unionByName(side("other", True))
+    if hot_keys(rows, tr.THREAD, max_rows) is None:  # no thread is large, so none of its pairs is
+        beside = F.lead if follows else F.lag
+        looked = merged.withColumn("_met", beside("_other").over(Window.partitionBy(*names).orderBy(*order)))
+    else:
+        looked = (following if follows else previous)(merged, names, order, {"_met": F.col("_other")}, max_rows)
+    return looked.filter(~F.col("_other")).select(*names, "call_id", "start", F.coalesce("_met", F.lit(False)).alias("met"))
 
 
 def _beside(calls: DataFrame, follows: bool) -> DataFrame:
@@ -139,8 +70,7 @@ def _pooled(calls: DataFrame, pool: DataFrame | None) -> DataFrame:
     return calls if pool is None else calls.join(pool, "function", "left_semi")
 
 
-def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None, chunk: int = CHUNK,
-                 max_rows: int | None = None) -> DataFrame:
+def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Positives and negatives of ordered pairs (I14: cover, I15: lead).
 
     Cover (``follows`` false): each B has an A since the last B. Lead: each A has a B
@@ -148,37 +78,31 @@ def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None,
     A thread that never calls the partner beside the subject counts all its subjects
     against the pair; a thread where the subject is beside nothing does not count.
     """
-    beside = _beside(_pooled(calls, pool), follows)
+    pooled = _pooled(calls, pool)
+    beside = cut_lineage(_beside(pooled, follows))
     pairs = beside.select("subject", "other").distinct()
     counted = calls.groupBy(*tr.THREAD, F.col("function").alias("subject")).agg(F.count(F.lit(1)).alias("_calls"))
-    # Looking ahead is looking back from the end of the thread.
-    matched = _since_counts(_pooled(calls, pool).withColumn("time", F.col("start")), chunk, max_rows, backwards=follows)
+    matched = partner_met(pooled, beside, follows, max_rows).groupBy(*tr.THREAD, "subject", "other").agg(
+        F.count_if("met").alias("_matched"))
     subjects = beside.select(*tr.THREAD, "subject").distinct().join(counted, [*tr.THREAD, "subject"])
-    per_thread = (
-        subjects.join(pairs, "subject")
-        .join(beside.withColumn("_beside", F.lit(1)), [*tr.THREAD, "subject", "other"], "left")
-        .join(matched, [*tr.THREAD, "subject", "other"], "left")
-    )
-    hit = F.when(F.col("_beside") == 1, F.coalesce("_matched", F.lit(0))).otherwise(0)
+    per_thread = subjects.join(pairs, "subject").join(matched, [*tr.THREAD, "subject", "other"], "left")
+    hit = F.coalesce("_matched", F.lit(0))
     return per_thread.groupBy("subject", "other").agg(
         F.sum(hit).alias("positives"), F.sum(F.col("_calls") - hit).alias("negatives"))
 
 
 def order_examples(calls: DataFrame, follows: bool, pool: DataFrame | None = None, keep: int = 5000, seed: int = 42,
-                   chunk: int = CHUNK, max_rows: int | None = None) -> DataFrame:
+                   max_rows: int | None = None) -> DataFrame:
     """Subject calls for and against each pair, at most ``keep`` of each by seeded order."""
     calls = _pooled(calls, pool)
-    beside = _beside(calls, follows)
-    since = called_since(calls.withColumn("time", F.col("start")), chunk, max_rows, backwards=follows)
+    beside = cut_lineage(_beside(calls, follows))
     pairs = beside.select("subject", "other").distinct()
     subjects = beside.select(*tr.THREAD, "subject").distinct()
-    partners = subjects.join(pairs, "subject").join(
-        beside.withColumn("_beside", F.lit(1)), [*tr.THREAD, "subject", "other"], "left")
-    rows = since.withColumnRenamed("function", "subject").join(partners, [*tr.THREAD, "subject"])
-    positive = (F.col("_beside") == 1) & F.array_contains("since", F.col("other"))
-    examples = rows.select(
-        "subject", "other", F.coalesce(positive, F.lit(False)).cast("int").alias("polarity"), "call_id")
-    return capped(examples, ["subject", "other"], "call_id", keep, seed)
+    met = partner_met(calls, beside, follows, max_rows).select("subject", "other", F.col("met").cast("int").alias("polarity"), "call_id")
+    apart = subjects.join(pairs, "subject").join(beside, [*tr.THREAD, "subject", "other"], "left_anti")
+    never = calls.withColumnRenamed("function", "subject").join(apart, [*tr.THREAD, "subject"]).select(
+        "subject", "other", F.lit(0).alias("polarity"), "call_id")
+    return capped(met.unionByName(never), ["subject", "other"], "call_id", keep, seed)
 
 
 def capped(examples: DataFrame, keys: Sequence[str], example: str, keep: int = 5000, seed: int = 42) -> DataFrame:

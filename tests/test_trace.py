@@ -64,9 +64,9 @@ def test_order_relations_and_their_chunks(spark, rows):
     for follows in (False, True):
         want = order_examples(data, follows)
         for chunk in (7, 1000):
-            got = rel.order_counts(df, follows, chunk=chunk, max_rows=20 if chunk == 7 else None)
+            got = rel.order_counts(df, follows, max_rows=20 if chunk == 7 else None)
             assert rows(got, "subject", "other", "positives", "negatives") == want
-        examples = rel.order_examples(df, follows, keep=10_000, chunk=9)
+        examples = rel.order_examples(df, follows, keep=10_000)
         counted = examples.groupBy("subject", "other").agg(F.sum("polarity").alias("p"), F.sum(1 - F.col("polarity")).alias("n"))
         assert rows(counted, "subject", "other", "p", "n") == want
 
