@@ -214,8 +214,12 @@ def infer(fields: DataFrame, skip: Sequence[str] = (), keep: int = 5000, seed: i
     hypothesis is searched on at most twice ``keep`` examples. No row means none was found.
     """
     chosen = capped(fields.select(*KEY).distinct(), ["hypothesis"], "example", keep, seed)
-    local = local_clauses(relevant_fields(fields.join(chosen, KEY, "left_semi"), skip))
-    shuffle = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return search(local_clauses(relevant_fields(fields.join(chosen, KEY, "left_semi"), skip)))
+
+
+def search(local: DataFrame) -> DataFrame:
+    """Preconditions of each hypothesis from the local clauses of its examples, one row per clause."""
+    shuffle = int(local.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return local.repartition(shuffle, "hypothesis").groupBy("hypothesis").applyInPandas(
         lambda pdf: _infer_one(pdf.reset_index(drop=True)), PRECONDITION)
 

@@ -70,6 +70,11 @@ def _pooled(calls: DataFrame, pool: DataFrame | None) -> DataFrame:
     return calls if pool is None else calls.join(pool, "function", "left_semi")
 
 
+def same_level(calls: DataFrame, follows: bool, pool: DataFrame | None = None) -> DataFrame:
+    """Pairs (subject, other) of functions that some thread calls on one level: what cover and lead are proposed for."""
+    return _beside(_pooled(calls, pool), follows).select("subject", "other").distinct()
+
+
 def order_counts(calls: DataFrame, follows: bool, pool: DataFrame | None = None, max_rows: int | None = None) -> DataFrame:
     """Positives and negatives of ordered pairs (I14: cover, I15: lead).
 

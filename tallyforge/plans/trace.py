@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators import engine as eng
 from tallyforge.operators import preconditions as pc
 from tallyforge.operators import relations as rel
 from tallyforge.operators import trace as tr
 from tallyforge.plans import bindings as b
 from tallyforge.plans.registry import query, table
+from tallyforge.session import cut_lineage
 
 DAY_US = 86_400_000_000
 
@@ -837,6 +839,118 @@ def a27(spark, sf):
     return pc.relation_sizes(lead.unionByName(distinct))
 
 
+# --- all relations -------------------------------------------------------------------
+
+def engine_sql(learn: str) -> str:
+    """Rules proposed by the traces in ``learn``, judged on both, and learned from the traces in ``learn``."""
+    near = """SELECT DISTINCT s.call_id, o.function AS other FROM bordered s JOIN placed o
+    ON s.process_id = o.process_id AND s.thread_id = o.thread_id AND s.function <> o.function AND """
+    return "WITH " + LEVEL_SQL + ",\n" + STATES_SQL + f""",
+tc AS (SELECT *, process_id % 2 AS odd FROM calls),
+placed AS (SELECT *, row_number() OVER (PARTITION BY process_id, thread_id ORDER BY "start", call_id) AS pos FROM tc),
+bordered AS (SELECT *, lead(pos) OVER w AS after, lag(pos) OVER w AS before FROM placed WINDOW w AS (PARTITION BY process_id, thread_id, function ORDER BY pos)),
+after_met AS ({near} o.pos > s.pos AND (s.after IS NULL OR o.pos < s.after)),
+before_met AS ({near} o.pos < s.pos AND (s.before IS NULL OR o.pos > s.before)),
+inside AS (
+  SELECT DISTINCT p.odd, p.call_id AS parent_id, p.function AS parent, c.function
+  FROM tc p JOIN tc c ON p.process_id = c.process_id AND p.thread_id = c.thread_id AND c."start" BETWEEN p."start" AND p."end"
+    AND c."end" <= p."end" AND c.call_id <> p.call_id),
+outputs AS (
+  SELECT odd, function, call_id, "start" AS time, unnest(['outcome', 'parity']) AS prop, unnest([outcome, CAST(k % 2 AS VARCHAR)]) AS value FROM tc),
+variables AS (
+  SELECT process_id % 2 AS odd, process_id, concat_ws('/', process_id, var_name, attr) AS example, var_name, var_type, attr, min("start") AS time
+  FROM states GROUP BY ALL),
+times AS (SELECT process_id % 2 AS odd, concat_ws('/', process_id, var_name, attr) AS example, var_type, attr, value, count(*) AS n FROM states GROUP BY ALL),
+counted AS (SELECT odd, function, prop, value, count(*) AS n FROM outputs GROUP BY ALL),
+shares AS (SELECT *, sum(n) OVER (PARTITION BY odd, function, prop) AS al FROM counted),
+proposed AS (
+  SELECT process_id % 2 AS odd, unnest(['lead', 'cover']) AS relation, [function_a, function_b] AS parts FROM level
+  UNION SELECT odd, 'contain', [parent, function] FROM inside
+  UNION SELECT odd, 'consistent_output', [function, prop, value] FROM shares WHERE n >= 0.5 * al
+  UNION SELECT odd, 'periodic', [var_type, attr, value] FROM times WHERE n > 5),
+rules AS (SELECT DISTINCT relation, parts FROM proposed WHERE odd IN {learn}),
+judged AS (
+  SELECT relation, parts, odd, s.call_id AS example, "start" AS time, CAST(m.other IS NOT NULL AS INTEGER) AS polarity FROM rules r JOIN tc s
+    ON relation = 'lead' AND s.function = parts[1] LEFT JOIN after_met m ON m.call_id = s.call_id AND m.other = parts[2]
+  UNION ALL SELECT relation, parts, odd, s.call_id, "start", CAST(m.other IS NOT NULL AS INTEGER) FROM rules r JOIN tc s
+    ON relation = 'cover' AND s.function = parts[1] LEFT JOIN before_met m ON m.call_id = s.call_id AND m.other = parts[2]
+  UNION ALL SELECT relation, parts, s.odd, s.call_id, "start", CAST(i.parent_id IS NOT NULL AS INTEGER) FROM rules r JOIN tc s
+    ON relation = 'contain' AND s.function = parts[1] LEFT JOIN inside i ON i.parent_id = s.call_id AND i.function = parts[2]
+  UNION ALL SELECT relation, parts, odd, call_id, time, CAST(value = parts[3] AS INTEGER) FROM rules r JOIN outputs o
+    ON relation = 'consistent_output' AND function = parts[1] AND prop = parts[2]
+  UNION ALL SELECT relation, parts, v.odd, v.example, time, CAST(coalesce(n, 0) > 5 AS INTEGER) FROM rules r JOIN variables v
+    ON relation = 'periodic' AND v.var_type = parts[1] AND v.attr = parts[2] LEFT JOIN times t ON t.example = v.example AND t.value = parts[3]),
+f AS (
+  SELECT call_id AS example, unnest(['attributes.even', 'attributes.k5', 'meta_vars.stage']) AS field, unnest(['bool', 'num', 'str']) AS kind,
+    unnest([CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END, CAST(k % 5 AS VARCHAR), stage]) AS value FROM tc
+  UNION ALL SELECT example, 'process_id', 'num', CAST(process_id AS VARCHAR) FROM variables),
+known AS (SELECT * FROM judged WHERE odd IN {learn}),
+totals AS (
+  SELECT relation, parts, CAST(sum(polarity) AS BIGINT) AS positives, CAST(sum(1 - polarity) AS BIGINT) AS negatives FROM known GROUP BY ALL HAVING sum(polarity) >= 2),
+per AS (
+  SELECT relation, parts, field, count(*) AS n, count(DISTINCT value) AS d, min(value) AS value FROM known JOIN f USING (example) WHERE polarity = 1 GROUP BY ALL),
+shared AS (SELECT relation, parts, field, value FROM per JOIN totals USING (relation, parts) WHERE n = positives AND d = 1),
+broken AS (
+  SELECT relation, parts, example, field, s.value FROM known JOIN shared s USING (relation, parts) JOIN f USING (example, field)
+  WHERE polarity = 0 AND f.value <> s.value),
+turned AS (
+  SELECT relation, parts, count(DISTINCT example) AS away, string_agg(DISTINCT field || '=' || value, ' & ' ORDER BY field || '=' || value) AS clauses
+  FROM broken GROUP BY ALL),
+learned AS (
+  SELECT relation, parts, positives, negatives,
+    CASE WHEN negatives = 0 THEN 'unconditional' WHEN away = negatives THEN 'base' ELSE 'open' END AS kind,
+    CASE WHEN negatives > 0 AND away = negatives THEN clauses ELSE '' END AS clauses
+  FROM totals LEFT JOIN turned USING (relation, parts))"""
+
+
+def engine_trace(spark, sf, odd):
+    """The threads of the even or of the odd processes as one trace."""
+    mine = F.col("process_id") % 2 == int(odd)
+    of = cut_lineage(calls(spark, sf).filter(mine))
+    outputs = of.select("function", "call_id", F.col("start").alias("time"), F.inline(F.array(
+        F.struct(F.lit("outcome").alias("prop"), F.col("outcome").alias("value")),
+        F.struct(F.lit("parity").alias("prop"), (F.col("k") % 2).cast("string").alias("value")))))
+
+    def fields(*entries):
+        return F.array(*[F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), v.alias("value")) for n, k, v in entries]).alias("fields")
+
+    k = F.col("k")
+    per_call = of.select(F.col("call_id").alias("example"), fields(
+        ("attributes.even", "bool", F.when(k % 2 == 0, "true").otherwise("false")), ("attributes.k5", "num", (k % 5).cast("string")),
+        ("meta_vars.stage", "str", F.col("stage"))))
+    held = cut_lineage(states(spark, sf).filter(mine))
+    per_variable = held.select(*tr.VARIABLE).distinct().select(
+        F.concat_ws("/", "process_id", "var_name", "attr").alias("example"), fields(("process_id", "num", F.col("process_id").cast("string"))))
+    return eng.Trace(of, outputs, held, per_call.unionByName(per_variable), pool(spark, sf))
+
+
+@query("i26_all_relations", engine_sql("(0, 1)") + """
+SELECT relation, array_to_string(parts, '|') AS rule, positives, negatives, kind, clauses FROM learned""")
+def i26_all(spark, sf):
+    rules = eng.learned([engine_trace(spark, sf, False), engine_trace(spark, sf, True)])
+    clauses = F.array_join(F.transform("clauses", lambda c: F.concat_ws("=", c["field"], c["value"])), " & ")
+    return rules.select("relation", F.array_join("parts", "|").alias("rule"), "positives", "negatives", "kind", clauses.alias("clauses"))
+
+
+@query("i27_all_relations", engine_sql("(0)") + """,
+away AS (
+  SELECT DISTINCT j.relation, j.parts, j.example FROM judged j JOIN learned l ON l.relation = j.relation AND l.parts = j.parts AND l.kind = 'base'
+  JOIN broken b ON b.relation = j.relation AND b.parts = j.parts JOIN f ON f.example = j.example AND f.field = b.field AND f.value <> b.value WHERE j.odd = 1),
+applied AS (
+  SELECT j.* FROM judged j JOIN learned l ON l.relation = j.relation AND l.parts = j.parts AND l.kind <> 'open'
+  WHERE j.odd = 1 AND (j.relation, j.parts, j.example) NOT IN (SELECT (relation, parts, example) FROM away)),
+found AS (
+  SELECT relation, parts, count(*) AS examples, min(CASE WHEN polarity = 0 THEN struct_pack(t := time, e := example) END) AS first FROM applied GROUP BY ALL)
+SELECT l.relation, array_to_string(l.parts, '|') AS rule,
+  CASE WHEN examples IS NULL THEN 'not_triggered' WHEN first IS NOT NULL THEN 'failed' ELSE 'passed' END AS outcome,
+  coalesce(examples, 0) AS examples, first.e AS violation, first.t AS violation_time
+FROM learned l LEFT JOIN found g ON g.relation = l.relation AND g.parts = l.parts WHERE kind <> 'open'""")
+def i27_all(spark, sf):
+    rules = eng.learned([engine_trace(spark, sf, False)])
+    found = eng.checked(engine_trace(spark, sf, True), rules)
+    return found.select("relation", F.array_join("parts", "|").alias("rule"), "outcome", "examples", "violation", "violation_time")
+
+
 @query("p8_parameter_matches", "WITH " + SHORT_SQL + """
 SELECT process_id, var_name, attr, time, new_value FROM changes WHERE var_type = 'layer_3' AND attr = 'click' AND old_value = '0'""")
 def p8(spark, sf):
