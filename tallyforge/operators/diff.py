@@ -79,6 +79,64 @@ def matched_records(left: DataFrame, right: DataFrame, max_rows: int | None = No
     return out.withColumn("differing", differing_keys(F.col("left_content"), F.col("right_content")))
 
 
+def _contents(rows: DataFrame, side: str) -> DataFrame:
+    """Distinct contents of a kind with their entries, key names and first line."""
+    cleaned = rows.select("kind", "idx", compared(F.col("content")).alias("content"))
+    text = content_text(F.col("content"))
+    first = cleaned.groupBy("kind", text.alias("text")).agg(F.min("idx").alias("first"), F.min_by(F.map_entries("content"), "idx").alias("pairs"))
+    entries = F.transform("pairs", lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
+    return first.select("kind", F.col("text").alias(f"{side}_text"), F.col("first").alias(f"{side}_first"), entries.alias(f"{side}_entries"),
+                        F.array_sort(F.transform("pairs", lambda e: e["key"])).alias(f"{side}_keys"))
+
+
+def _signatures(contents: DataFrame, side: str, counts: DataFrame, d: int) -> DataFrame:
+    """kind, signature, text: what contents with at most ``d`` differing keys must have one in common of.
+
+    The larger of two such contents shares all its entries but ``d`` with the other: two of its ``d`` + 2 rarest if it
+    has so many, else one of its ``d`` + 1 rarest. The smaller one has at most as many others, so the same holds for it.
+    """
+    ranked = contents.select("kind", f"{side}_text", F.size(f"{side}_entries").alias("size"), F.explode(f"{side}_entries").alias("entry"))
+    ranked = ranked.join(counts, ["kind", "entry"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = Window.partitionBy("kind", f"{side}_text").orderBy("n", "entry")
+    rare = ranked.withColumn("turn", F.row_number().over(own)).filter(F.col("turn") <= d + 2).groupBy("kind", f"{side}_text", "size").agg(
+        F.array_sort(F.collect_list("entry")).alias("two"), F.array_sort(F.collect_list(F.when(F.col("turn") <= d + 1, F.col("entry")))).alias("one"))
+    pairs = F.flatten(F.transform("two", lambda a, i: F.transform(
+        F.slice("two", i + 2, F.size("two")), lambda b: F.concat_ws("\x1e", a, b))))
+    # singles are for two contents of which the larger has d + 1 entries
+    ones = F.when(F.col("size") <= d + 1, F.col("one")).otherwise(F.array().cast("array<string>"))
+    return rare.select("kind", f"{side}_text", F.explode(F.concat(pairs, ones)).alias("signature"))
+
+
+def nearest_records(left: DataFrame, right: DataFrame, most: int = EDIT_KEYS) -> DataFrame:
+    """Each left record with the right record of its kind that differs in the fewest keys, at most ``most``.
+
+    Of several the one on the first line: left_idx, right_idx, differing. A record without a near one has no row. Distinct
+    contents are compared, for 0, 1, 2, ... differing keys in turn, each only while no nearer one is known, and only those
+    with a rare combination of entries in common. Contents of so few keys that all may differ need no comparison: what
+    counts for them are the key names, of which a kind has few sets.
+    """
+    a, b = cut_lineage(_contents(left, "left")), cut_lineage(_contents(right, "right"))
+    counts = cut_lineage(b.select("kind", F.explode("right_entries").alias("entry")).groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("n")))
+    key_sets = cut_lineage(b.groupBy("kind", "right_keys").agg(F.min("right_first").alias("right_first")))
+    equal = a.join(b, (a["kind"] == b["kind"]) & (F.col("left_text") == F.col("right_text")))
+    found = cut_lineage(equal.select(a["kind"], "left_text", F.col("right_first").alias("right_idx"), F.lit(0).alias("differing")))
+    for d in range(1, most + 1):
+        open_ = a.join(found, ["kind", "left_text"], "left_anti")
+        met = _signatures(open_, "left", counts, d).join(_signatures(b, "right", counts, d), ["kind", "signature"]).select(
+            "kind", "left_text", "right_text").distinct()
+        both = met.join(a, ["kind", "left_text"]).join(b, ["kind", "right_text"])
+        shared = F.size(F.array_intersect("left_entries", "right_entries"))
+        apart = F.size(F.array_union("left_keys", "right_keys")) - shared
+        near = both.filter(apart == d).select("kind", "left_text", "right_first")
+        # nothing nearer is known, so contents with so few keys between them differ in all of them
+        small = open_.filter(F.size("left_keys") <= d).join(key_sets.filter(F.size("right_keys") <= d), "kind")
+        small = small.filter(F.size(F.array_union("left_keys", "right_keys")) == d).select("kind", "left_text", "right_first")
+        level = near.unionByName(small).groupBy("kind", "left_text").agg(F.min("right_first").alias("right_idx"))
+        found = cut_lineage(found.unionByName(level.withColumn("differing", F.lit(d))))
+    lines = left.select("kind", F.col("idx").alias("left_idx"), content_text(compared(F.col("content"))).alias("left_text"))
+    return lines.join(found, ["kind", "left_text"]).select("left_idx", "right_idx", "differing")
+
+
 def run_diff(left: DataFrame, right: DataFrame, edit_keys: int = EDIT_KEYS, max_rows: int | None = None) -> DataFrame:
     """Line changes from one run to the other: edit, delete, insert.
 

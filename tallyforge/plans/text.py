@@ -195,6 +195,17 @@ def j13(spark, sf):
     return out.select("left_idx", "right_idx", F.size("differing").alias("differing"))
 
 
+@query("j13_nearest_records", DIFF_SQL.split("\nt1 AS")[0].rstrip(",") + """,
+pairs AS (
+  SELECT a.idx AS left_idx, b.idx AS right_idx,
+    CAST(a.f <> b.f AS INTEGER) + CAST(a.u <> b.u AS INTEGER) + CAST(a.s <> b.s AS INTEGER) + CAST(a.n <> b.n AS INTEGER) AS differing
+  FROM r a JOIN r b ON NOT a.second AND b.second AND a.kind = b.kind)
+SELECT left_idx, first.right_idx AS right_idx, first.differing AS differing
+FROM (SELECT left_idx, min(struct_pack(differing := differing, right_idx := right_idx)) AS first FROM pairs GROUP BY left_idx)""")
+def j13_nearest(spark, sf):
+    return df_.nearest_records(run_records(spark, sf, False), run_records(spark, sf, True))
+
+
 @query("i28_run_diff", DIFF_SQL + "\nSELECT change, left_idx, right_idx, keys FROM diff")
 def i28(spark, sf):
     return df_.run_diff(run_records(spark, sf, False), run_records(spark, sf, True), 3).select("change", "left_idx", "right_idx", "keys")
