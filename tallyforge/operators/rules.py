@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.pairing import order_columns
 from tallyforge.operators.stats import trailing_mean
 from tallyforge.ordered import framed, numbered, previous, running
+from tallyforge.session import cut_lineage
 
 # Limits of the rules.
 CPU_BURST = 50.0            # percent, and over twice the recent mean
@@ -155,3 +156,30 @@ def one_per_slot(rows: DataFrame, keys: list[str], slot_us: int) -> DataFrame:
     slot = F.floor(F.col("t") / slot_us).alias("slot")
     first = F.min_by(F.struct(*names), F.struct("t", "seq"))
     return rows.groupBy(*keys, slot).agg(first.alias("first")).select(*keys, "slot", "first.*")
+
+
+def once_per_interval(rows: DataFrame, keys: list[str], interval_us: int, max_rows: int | None = None) -> DataFrame:
+    """Rows as a clock lets them pass that opens ``interval_us`` after the last one it let pass.
+
+    The first row of a key passes, then the first at or after its time plus the interval, and so on; without keys there
+    is one clock for all rows. Each row's successor is found by one ordered pass, and the rows on the way from the first
+    are marked by doubling: after n rounds all within 2^n steps are, so no task walks a key.
+    """
+    names = rows.columns
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    nodes = cut_lineage(rows.groupBy(key.alias("_key"), "t").agg(F.min_by(F.struct(*names), "seq").alias("_row")))
+    at = nodes.select("_key", "t", F.col("t").alias("_at"), F.lit(True).alias("_node")).unionByName(
+        nodes.select("_key", "t", (F.col("t") + interval_us).alias("_at"), F.lit(False).alias("_node")))
+    # backwards in time, nodes before those that ask at the same time, the last node seen is the first at or after
+    looked = running(at, ["_key"], [F.col("_at").desc(), F.col("_node").desc(), F.col("t").desc()],
+                     {"_next": ("last", F.when(F.col("_node"), F.col("_at")))}, max_rows)
+    jump = cut_lineage(looked.filter(~F.col("_node")).select("_key", "t", "_next").filter("_next is not null"))
+    passed = cut_lineage(nodes.groupBy("_key").agg(F.min("t").alias("t")))
+    while True:
+        further = cut_lineage(passed.join(jump, ["_key", "t"]).select("_key", F.col("_next").alias("t")))
+        if further.isEmpty():
+            break
+        passed = passed.unionByName(further)
+        ahead = jump.select("_key", F.col("t").alias("_next"), F.col("_next").alias("_after"))
+        jump = cut_lineage(jump.join(ahead, ["_key", "_next"]).select("_key", "t", F.col("_after").alias("_next")))
+    return nodes.join(passed, ["_key", "t"]).select("_row.*")

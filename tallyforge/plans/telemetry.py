@@ -348,14 +348,17 @@ sampled AS (
   SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY pid, t // 30000000 ORDER BY t, seq) = 1)"""
 
 
-def sampled_totals(spark, sf):
+def running_totals(spark, sf):
     from tallyforge.ordered import running
 
-    totals = running(b.packets(spark, sf), ["pid"], pairing.order_columns(), {
+    return running(b.packets(spark, sf), ["pid"], pairing.order_columns(), {
         "tx_total": ("sum", F.when(F.col("is_send"), F.col("bytes")).otherwise(0)),
         "rx_total": ("sum", F.when(F.col("is_send"), F.lit(0)).otherwise(F.col("bytes"))),
     }).select("pid", "t", "seq", "tx_total", "rx_total")
-    return rules.one_per_slot(totals, ["pid"], 30_000_000)
+
+
+def sampled_totals(spark, sf):
+    return rules.one_per_slot(running_totals(spark, sf), ["pid"], 30_000_000)
 
 
 @query("r2_sampled_rows", RUNNING_NET_SQL + "\nSELECT pid, t // 30000000 AS slot, t, seq, tx_total, rx_total FROM sampled")
@@ -363,6 +366,17 @@ def r2(spark, sf):
     return sampled_totals(spark, sf)
 
 
+@query("r2_once_per_interval", RUNNING_NET_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+nodes AS (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY pid, t ORDER BY seq) = 1),
+jump AS (SELECT pid, t, min(t) OVER (PARTITION BY pid ORDER BY t RANGE BETWEEN 30000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM nodes),
+passed AS (
+  SELECT pid, min(t) AS t FROM nodes GROUP BY pid
+  UNION ALL SELECT p.pid, j.after FROM passed p JOIN jump j ON p.pid = j.pid AND p.t = j.t WHERE j.after IS NOT NULL)
+SELECT pid, t, seq, tx_total, rx_total FROM nodes JOIN passed USING (pid, t)""")
+def r2_exact(spark, sf):
+    return rules.once_per_interval(running_totals(spark, sf), ["pid"], 30_000_000)
+
+
 @query("w10_bytes_since_sample", RUNNING_NET_SQL + """
 SELECT pid, t, tx_total, greatest(tx_total - coalesce(lag(tx_total) OVER w, 0), 0) AS tx_total_delta,
        greatest(rx_total - coalesce(lag(rx_total) OVER w, 0), 0) AS rx_total_delta

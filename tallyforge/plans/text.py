@@ -517,6 +517,19 @@ def r3(spark, sf):
     return rules.one_per_slot(warned, ["pid"], 86_400_000_000).select("pid", "slot", "t")
 
 
+@query("r3_one_clock", """
+WITH RECURSIVE w AS (
+  SELECT epoch_us(l_shipdate) AS t, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_extendedprice) AS seq, l_suppkey AS pid
+  FROM lineitem WHERE l_quantity > 45),
+nodes AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY t ORDER BY seq) = 1),
+jump AS (SELECT t, min(t) OVER (ORDER BY t RANGE BETWEEN 259200000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM nodes),
+passed AS (SELECT min(t) AS t FROM nodes UNION ALL SELECT j.after FROM passed p JOIN jump j ON p.t = j.t WHERE j.after IS NOT NULL)
+SELECT pid, t FROM nodes JOIN passed USING (t)""")
+def r3_clock(spark, sf):
+    warned = b.io_events(spark, sf).filter("latency_us > 45000").select("pid", "t", "seq")
+    return rules.once_per_interval(warned, [], 3 * 86_400_000_000).select("pid", "t")
+
+
 @query("r5_idle_clients", """
 WITH g AS (SELECT user_id AS client, ts, CASE WHEN lag(ts) OVER w >= ts - INTERVAL 1 DAY THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY client ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)

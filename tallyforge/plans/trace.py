@@ -776,15 +776,15 @@ def p11(spark, sf):
 
 
 @query("i24_capped_counts", "WITH " + order_sql(True) + """
-SELECT subject, other, polarity, least(count(*), 50) AS kept FROM examples GROUP BY ALL""")
+SELECT subject, other, polarity, least(count(*), 5000) AS kept FROM examples GROUP BY ALL""")
 def i24_counts(spark, sf):
-    examples = rel.order_examples(calls(spark, sf), True, pool(spark, sf), keep=50)
+    examples = rel.order_examples(calls(spark, sf), True, pool(spark, sf))
     return examples.groupBy("subject", "other", "polarity").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("i24_capped_examples")
 def i24(spark, sf):
-    return rel.order_examples(calls(spark, sf), True, pool(spark, sf), keep=50)
+    return rel.order_examples(calls(spark, sf), True, pool(spark, sf))
 
 
 @query("i25_stage_restriction")

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.ordered import numbered
+from tallyforge.ordered import numbered, running
+from tallyforge.session import cut_lineage
 
 NESTED_FIELDS = ("args", "kwargs", "return_values")
 SNAPSHOT_RULE = "-" * 50
 SESSION_SCHEMA = "session_id string, timestamp string, step_type string, content string, metadata map<string,string>"
+RESULT_SCHEMA = "hypothesis string, outcome string, violation string, violation_time long"
 CLAUSE_SCHEMA = "hypothesis string, precondition int, inverted boolean, field string, clause string, values array<string>"
 
 
@@ -70,9 +72,39 @@ def read_invariants(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLAUSE_SCHEMA).json(path)
 
 
-def read_check_results(spark: SparkSession, path: str) -> DataFrame:
-    """Checker results as written by ``write_check_results`` (S16); the folder gives the outcome."""
-    return spark.read.json(path)
+def json_objects(lines: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """file, number, value: the objects of texts in which JSON objects follow each other, over lines or within one.
+
+    ``lines`` has file, at (orders the lines of a file) and value. An object starts on a line before which as many
+    brackets were closed as opened; brackets inside strings do not count, and no string crosses a line. The running
+    depth is carried over the borders of splits, so an object may lie in several; only its own lines meet in one task.
+    """
+    # `}{` outside strings is a border within a line
+    tokens = F.regexp_extract_all("value", F.lit(r'"(?:\\.|[^"\\])*"|[^"]+'), F.lit(0))
+    cut = F.array_join(F.transform(tokens, lambda t: F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, r"\}\s*\{", "}\n{"))), "")
+    parts = lines.select("file", "at", F.posexplode(F.split(cut, "\n")).alias("part", "value")).filter(F.trim("value") != "")
+    bare = F.regexp_replace("value", r'"(?:\\.|[^"\\])*"', "")
+    depth = F.length(F.regexp_replace(bare, r"[^\{\[]", "")) - F.length(F.regexp_replace(bare, r"[^\}\]]", ""))
+    order = [F.col("at"), F.col("part")]
+    summed = running(parts.withColumn("_step", depth.cast("long")), ["file"], order, {"_after": ("sum", F.col("_step"))}, max_rows)
+    starts = F.when(F.col("_after") - F.col("_step") == 0, 1).otherwise(0).cast("long")
+    numbered_ = running(summed.withColumn("_starts", starts), ["file"], order, {"number": ("sum", F.col("_starts"))}, max_rows)
+    whole = numbered_.groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("at", "part", "value"))).alias("_lines"))
+    return whole.select("file", "number", F.array_join(F.transform("_lines", lambda line: line["value"]), "\n").alias("value"))
+
+
+def read_check_results(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA) -> DataFrame:
+    """Checker results (S16): JSON objects one after the other, each on one line or over several; the folder gives the outcome.
+
+    An object that does not parse gives a row of nulls beside its file and number.
+    """
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    meta = F.col("_metadata")
+    at = F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = cut_lineage(text.select(meta["file_path"].alias("file"), at.alias("at"), "value"))
+    objects = json_objects(lines).withColumn("_row", F.from_json("value", schema))
+    folder = F.nullif(F.regexp_extract("file", r"/outcome=([^/]*)/", 1), F.lit(""))
+    return objects.select("file", "number", "_row.*").withColumn("outcome", F.coalesce(folder, F.col("outcome")))
 
 
 # --- stacks --------------------------------------------------------------------------

@@ -105,3 +105,47 @@ def test_invariants_results_and_reports(spark, rows, tmp_path):
     assert spark.read.json(str(tmp_path / "mem")).count() == 2
     (tmp_path / "s.jsonl").write_text('{"session_id": "s1", "timestamp": "2024-01-01T00:00:00", "step_type": "error", "content": "x"}\n')
     assert readers.read_sessions(spark, str(tmp_path / "s.jsonl")).first().step_type == "error"
+
+
+def test_concatenated_objects_over_lines_and_splits(spark, rows, tmp_path):
+    import json
+
+    objects = [{"hypothesis": f"h{n}", "violation": t, "violation_time": n, "more": {"deep": [n, {"a": "}{"}]}}
+               for n, t in enumerate(['plain', 'a } { b', 'quote \\" }', '', '[[', 'é{', "x" * 500] * 8)]
+    want = sorted(((o["hypothesis"], o["violation"], o["violation_time"]) for o in objects), key=repr)
+    forms = {"lines": "\n".join(json.dumps(o) for o in objects), "spread": "\n\n".join(json.dumps(o, indent=2) for o in objects),
+             "one": "".join(json.dumps(o) for o in objects), "glued": " ".join(json.dumps(o, indent=1) for o in objects)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "700b"):  # many splits, inside objects too
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for name, text in forms.items():
+                folder = tmp_path / name / "outcome=failed"
+                folder.mkdir(parents=True, exist_ok=True)
+                (folder / "r.json").write_text(text)
+                got = readers.read_check_results(spark, str(tmp_path / name))
+                assert rows(got, "hypothesis", "violation", "violation_time") == want
+                assert rows(got.select("outcome").distinct()) == [("failed",)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_clock_lets_rows_pass_as_a_loop_does(spark, rows):
+    import random
+
+    from tallyforge.operators import rules
+
+    rng = random.Random(3)
+    data = [(rng.choice([1, 2, None]), rng.randrange(400), n) for n in range(300)] + [(9, 5, 1)]
+    df = spark.createDataFrame(data, "pid long, t long, seq long").repartition(3)
+    for keys in (["pid"], []):
+        for limit in (None, 40):
+            want = []
+            for key in {r[0] if keys else 0 for r in data}:
+                last = None
+                for r in sorted((r for r in data if not keys or r[0] == key), key=lambda r: r[1:]):
+                    if last is None or r[1] >= last + 25:
+                        want.append(r)
+                        last = r[1]
+            assert rows(rules.once_per_interval(df, keys, 25, max_rows=limit)) == sorted(want, key=repr)
+    assert rules.once_per_interval(df.filter("false"), ["pid"], 5).count() == 0
