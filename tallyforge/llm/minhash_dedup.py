@@ -40,6 +40,9 @@ HUB_STEPS = 2
 SHARE = 256
 #: Names of the parity bits of a member's differences.
 MARKS = [f"mark{i}" for i in range(8)]
+LOST_MARKS = [f"lost{i}" for i in range(4)]
+#: Lacking elements of the hub for which bits are worked out; beyond it a pair is judged without them.
+LOST_MOST = 4096
 WORDS_KNOWN = 400_000
 
 
@@ -178,7 +181,7 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     held = members.join(sets, "node").join(of_hub, ["hub", "share"])
     held = held.select("hub", "node", F.size("items").alias("n"), F.size("hub_items").alias("hub_n"), F.array_except("items", "hub_items").alias("gained"),
                        F.array_except("hub_items", "items").alias("lost"))
-    held = held.withColumns({"g": F.size("gained"), "c": F.size("gained") + F.size("lost")})
+    held = held.withColumns({"g": F.size("gained"), "c": F.size("gained") + F.size("lost"), **_lost_marks()})
     held = held.withColumn("outside", F.col("c") * more > (F.col("n") + F.col("hub_n")) * less)
     held = written(held, f"{folder}/hubs")
     linked = held.where("not outside").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
@@ -187,7 +190,7 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     # linked classes have about as many differences each, so they share one of the first `reach`. What is not in the hub
     # comes first, the rarest ahead; what only the hub has is lacking in most members and comes last
     reach = F.floor(F.col("n") * less / similarity) + 1
-    kept = ["hub", "node", "n", "hub_n", "g", "c", "outside"]
+    kept = ["hub", "node", "n", "hub_n", "g", "c", "outside", *LOST_MARKS]
     open_ = held.join(unsettled, "hub", "left_semi")
     gained = open_.select(*kept, F.explode("gained").alias("element"))
     common = gained.groupBy("hub", "element").agg(F.count("*").alias("holders")).where("holders > 1")
@@ -205,7 +208,7 @@ def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity:
     placed = written(placed.withColumn("first", F.col("left") > half).where(F.col("first") | F.col("outside") & early), f"{folder}/differences")
 
     # the members with one difference in common get a hub of their own, which joins those that are close to each other
-    second = placed.where("first").groupBy("hub", "element").agg(F.min_by(F.struct("node", "n", "g", "c", "alone", *MARKS), F.xxhash64("node")).alias("y"))
+    second = placed.where("first").groupBy("hub", "element").agg(F.min_by(F.struct("node", "n", "g", "c", "alone", *MARKS, *LOST_MARKS), F.xxhash64("node")).alias("y"))
     near = placed.join(second, ["hub", "element"]).where(F.col("y.node") != F.col("node")).where(
         _marks_apart(F.col, lambda m: F.col(f"y.{m}")) * more <= (F.col("n") + F.col("y.n")) * less)
     near = near.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
@@ -229,10 +232,18 @@ def _marks(element: Column, mine: WindowSpec) -> list[Column]:
     return [F.bit_xor(F.when((word == i) & F.col("holders").isNotNull(), bit).otherwise(F.lit(0).cast("long"))).over(mine).alias(m) for i, m in enumerate(MARKS)]
 
 
+def _lost_marks() -> dict[str, Column]:
+    """256 bits of the hub's elements that a member lacks; none where there are more than `LOST_MOST`."""
+    bits = "aggregate(lost, 0L, (s, e) -> if((shiftright(e, 6) & 3) = {}, s ^ shiftleft(1L, cast(e & 63 as int)), s))"
+    return {m: F.when(F.size("lost") <= LOST_MOST, F.expr(bits.format(i))) for i, m in enumerate(LOST_MARKS)}
+
+
 def _marks_apart(x, y):
     """A lower bound of the elements in which two members differ: those that either holds alone, the bits of the others,
-    and the difference in how many of the hub's they lack."""
-    return sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MARKS), x("alone") + y("alone") + F.abs(x("c") - x("g") - y("c") + y("g")))
+    and of the hub's elements that they lack the difference in number or the bits."""
+    lost = sum((F.coalesce(F.bit_count(x(m).bitwiseXOR(y(m))), F.lit(0)) for m in LOST_MARKS), F.lit(0))
+    lost = F.greatest(lost, F.abs(x("c") - x("g") - y("c") + y("g")))
+    return sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MARKS), x("alone") + y("alone") + lost)
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, similarity: int = 80, text: str = "text", id_: str = "doc_id") -> DataFrame:
