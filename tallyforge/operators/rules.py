@@ -171,7 +171,7 @@ def once_per_interval(rows: DataFrame, keys: list[str], interval_us: int, max_ro
     at = nodes.select("_key", "t", F.col("t").alias("_at"), F.lit(True).alias("_node")).unionByName(
         nodes.select("_key", "t", (F.col("t") + interval_us).alias("_at"), F.lit(False).alias("_node")))
     # backwards in time, nodes before those that ask at the same time, the last node seen is the first at or after
-    looked = running(at, ["_key"], [F.col("_at").desc(), F.col("_node").desc(), F.col("t").desc()],
+    looked = running(at, ["_key"], [-F.col("_at"), ~F.col("_node"), -F.col("t")],
                      {"_next": ("last", F.when(F.col("_node"), F.col("_at")))}, max_rows)
     jump = cut_lineage(looked.filter(~F.col("_node")).select("_key", "t", "_next").filter("_next is not null"))
     passed = cut_lineage(nodes.groupBy("_key").agg(F.min("t").alias("t")))
