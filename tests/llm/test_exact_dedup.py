@@ -40,15 +40,54 @@ def test_empty_table(make_docs, rows):
     assert rows(exact_dedup.unique(make_docs([]))) == []
 
 
-def test_directory_doubles_until_no_bucket_is_overfull(spark):
-    # all keys share their first ten bits, so the depth that even keys would need is far too small
-    keys = spark.range(200).select((F.col("id") + 1).alias("key")).withColumn("key", F.col("key") * (1 << 45))
-    slots, depth = exact_dedup.directory(keys, capacity=16)
-    got = slots.collect()
-    assert depth > 10
-    assert max(r.bucket_keys for r in got) <= 16
-    assert sum({r.bucket: r.bucket_keys for r in got}.values()) == 200
-    assert all(r.local_depth in (depth, depth - 1) for r in got)
+def test_only_overfull_buckets_split(spark, tmp_path):
+    # 200 keys share their first ten bits, 40 others are spread evenly
+    crowd = [(i + 1) << 45 for i in range(200)]
+    spread = [(1 << 62) + (i << 56) + 5 for i in range(40)]
+    keys = spark.createDataFrame([(k,) for k in crowd + spread], "key long")
+    slots, depth = exact_dedup.directory(keys, f"file://{tmp_path}", capacity=16)
+    got = {r.slot: r for r in slots.collect()}
+    held = defaultdict(list)
+    for k in crowd + spread:
+        entry = got[k >> (63 - depth)]
+        assert entry.bucket == k >> (63 - entry.local_depth) << (63 - entry.local_depth)
+        held[entry.bucket, entry.local_depth].append(k)
+    assert max(map(len, held.values())) <= 16 and depth > 10
+    # a bucket is as deep as it must be: the one it split from held more than it may
+    first = 3
+    for (bucket, local), _ in held.items():
+        assert local == first or sum(k >> (64 - local) == bucket >> (64 - local) for k in crowd + spread) > 16
+    assert {local for _, local in held} >= {first, depth}
+
+
+def test_probes_go_through_the_directory(spark, make_docs, odd_rows, monkeypatch):
+    # a directory that names the wrong bucket for a slot loses the documents of that slot
+    right = exact_dedup.directory
+
+    def wrong(keys, folder, capacity):
+        slots, depth = right(keys, folder, capacity)
+        lost.append(min(r.slot for r in slots.collect()))
+        return slots, depth
+
+    def named(docs, slots, depth, *rest):
+        moved = slots.withColumn("bucket", F.when(F.col("slot") == lost[0], F.lit(-1)).otherwise(F.col("bucket")))
+        return probes(docs, moved, depth, *rest)
+
+    lost, probes = [], exact_dedup._probes
+    docs = make_docs(odd_rows)
+    whole = exact_dedup.exact_groups(docs, capacity=4).count()
+    monkeypatch.setattr(exact_dedup, "directory", wrong)
+    monkeypatch.setattr(exact_dedup, "_probes", named)
+    assert 0 < exact_dedup.exact_groups(docs, capacity=4).count() < whole == len(odd_rows)
+
+
+def test_owners_fold_a_hot_text_first(spark, make_docs):
+    # 3,000 copies in 3 tasks reach the owner of their key as one row a task, and grouping adds no shuffle
+    docs = make_docs([(i, "hot") for i in range(3000)])
+    made = exact_dedup.chained(docs)
+    assert [(r.keep_id, r.group_size) for r in made.collect()] == [(2999, 3000)]
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange rangepartitioning(key") == 1 and "hashpartitioning(key" not in plan
 
 
 def test_index_chains_equal_keys(make_docs, monkeypatch, rows):
