@@ -172,44 +172,56 @@ def edit_patterns(diff: DataFrame) -> DataFrame:
 def line_patterns(lines: DataFrame, keys: int = PATTERN_KEYS) -> DataFrame:
     """Masked contents of deleted or inserted lines, grouped when at most ``keys`` keys differ.
 
-    ``lines`` has idx, content. Distinct masked contents are compared, and only those that share one of their
-    ``keys`` + 1 rarest entries: contents with at most ``keys`` differing keys share all others, so if they
-    share any, they share one of these. Contents of at most ``keys`` keys may share none and meet each other.
+    ``lines`` has idx, content. Distinct masked contents are compared, and only those that share a signature: two
+    of their rarest entries, or one if no more can be common. Contents of so few keys that all may differ need
+    no comparison: two of them are near by their key names alone, and contents with the same names are all near,
+    so at most one of them leads. For these a table with one row a set of names holds what is settled.
 
     Contents are taken by first line: one that is in no group yet leads a group of all later contents near
-    to it that are in none. Each round settles every content whose earlier near contents are settled.
+    to it that are in none. Each round settles every content whose earlier near contents are settled, or come
+    after a leader that is near.
     """
     mask = F.transform_values(compared(F.col("content")), lambda _, v: masked(v))
     distinct = lines.withColumn("content", mask).withColumn("pattern", content_text(F.col("content"))).groupBy("pattern").agg(
         F.min_by("content", F.struct("idx", content_text(F.col("content")))).alias("content"), F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("times"))
-    entry = F.explode(F.transform(F.map_entries("content"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")))))
-    entries = distinct.select("pattern", entry.alias("_piece"))
-    counts = entries.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = Window.partitionBy("pattern").orderBy("_n", "_piece")
-    pieces = entries.join(counts, "_piece").withColumn("_rn", F.row_number().over(rarest)).filter(F.col("_rn") <= keys + 1)
-    pieces = pieces.filter("_n > 1").select("pattern", "_piece").unionByName(
-        distinct.filter(F.size("content") <= keys).select("pattern", F.lit("").alias("_piece")))
-    parts = cut_lineage(distinct.join(pieces, "pattern").select("pattern", "content", "first_idx", "_piece"))
-    a = parts
-    b = parts.select(F.col("pattern").alias("_p"), F.col("content").alias("_c"), F.col("first_idx").alias("_i"), "_piece")
-    near = a.join(b, "_piece").filter(
-        (F.struct("_i", "_p") < F.struct("first_idx", "pattern")) & (F.size(differing_keys(F.col("content"), F.col("_c"))) <= keys))
-    near = cut_lineage(near.select("pattern", F.col("_p").alias("before"), F.struct("_i", "_p").alias("at")).distinct())
-    later = near.select("pattern").distinct()
-    settled = cut_lineage(distinct.select("pattern").join(later, "pattern", "left_anti").withColumn("leader", F.col("pattern")))
+    names = F.array_sort(F.map_keys("content"))
+    distinct = cut_lineage(distinct.withColumns({
+        "at": F.struct("first_idx", "pattern"), "names": F.when(F.size("content") <= keys, names)}))
+
+    entries = F.transform(F.map_entries("content"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None"))))
+    contents = distinct.select(F.lit("").alias("kind"), F.col("pattern").alias("left_text"), entries.alias("left_entries"))
+    counts = contents.select("kind", F.explode("left_entries").alias("entry")).groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("n"))
+    signed = cut_lineage(_signatures(contents, "left", counts, keys).select(F.col("left_text").alias("pattern"), "signature"))
+    signed = signed.join(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("signature"), "signature")
+    signed = signed.join(distinct.select("pattern", "content", "at"), "pattern")
+    earlier = signed.select("signature", F.col("pattern").alias("before"), F.col("content").alias("other"), F.col("at").alias("before_at"))
+    near = signed.join(earlier, "signature").filter(
+        (F.col("before_at") < F.col("at")) & (F.size(differing_keys(F.col("content"), F.col("other"))) <= keys))
+    near = cut_lineage(near.select("pattern", "before", "before_at").distinct())
+
+    few = distinct.select("names").filter("names is not null").distinct()
+    beside = few.select(F.col("names").alias("other_names"))
+    beside = cut_lineage(few.join(beside, F.size(F.array_union("names", "other_names")) <= keys))
+
+    settled = distinct.select("pattern", F.col("pattern").alias("leader")).limit(0)
     while True:
+        open_ = distinct.join(settled, "pattern", "left_anti").select("pattern", "at", "names")
         known = settled.select(F.col("pattern").alias("before"), "leader")
-        waiting = near.join(settled, "pattern", "left_anti").join(known, "before", "left")
-        leads = F.col("leader") == F.col("before")
-        judged = waiting.groupBy("pattern").agg(
-            F.min(F.when(leads, F.col("at"))).alias("first"), F.min(F.when(F.col("leader").isNull(), F.col("at"))).alias("open"))
+        leads, unknown = F.col("leader") == F.col("before"), F.col("leader").isNull()
+        shown = near.join(known, "before", "left").groupBy("pattern").agg(
+            F.min(F.when(leads, F.col("before_at"))).alias("near_first"), F.min(F.when(unknown, F.col("before_at"))).alias("near_open"))
+        state = distinct.filter("names is not null").join(settled, "pattern", "left").groupBy(F.col("names").alias("other_names")).agg(
+            F.min(F.when(F.col("leader") == F.col("pattern"), F.col("at"))).alias("lead"), F.min(F.when(unknown, F.col("at"))).alias("open"))
+        by_names = beside.join(state, "other_names").groupBy("names").agg(F.min("lead").alias("lead"), F.min("open").alias("open"))
+        judged = open_.join(shown, "pattern", "left").join(by_names, "names", "left").select(
+            "pattern", F.least("near_first", F.when(F.col("lead") < F.col("at"), F.col("lead"))).alias("first"),
+            F.least("near_open", F.when(F.col("open") < F.col("at"), F.col("open"))).alias("open"))
         # a content joins the first leader before it once nothing still open could come first
-        sure = judged.filter("open is null or first < open").select("pattern", F.coalesce("first._p", "pattern").alias("leader"))
-        sure = cut_lineage(sure)
+        sure = cut_lineage(judged.filter("open is null or first < open").select("pattern", F.coalesce("first.pattern", "pattern").alias("leader")))
         if sure.isEmpty():
             break
         settled = cut_lineage(settled.unionByName(sure))
-    return distinct.join(settled, "pattern", "left").groupBy(F.coalesce("leader", "pattern").alias("pattern")).agg(
+    return distinct.join(settled, "pattern").groupBy(F.col("leader").alias("pattern")).agg(
         F.sum("times").alias("times"), F.count(F.lit(1)).alias("variants"))
 
 

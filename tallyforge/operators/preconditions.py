@@ -90,11 +90,12 @@ def base_clauses(local: DataFrame) -> DataFrame:
     totals = local.select(*KEY).distinct().groupBy("hypothesis").agg(
         F.sum("polarity").alias("_pos"), F.sum(1 - F.col("polarity")).alias("_neg"))
     everywhere = merged.join(totals, "hypothesis").filter(F.col("n") == F.col("_pos"))
-    negatives = local.filter(F.col("polarity") == 0).select(
-        "hypothesis", "field", F.col("clause").alias("_l"), F.col("value").alias("_v"), "single")
+    # negatives with the same clause are one row, so a hypothesis with most examples joins few
+    negatives = local.filter(F.col("polarity") == 0).groupBy(
+        "hypothesis", "field", F.col("clause").alias("_l"), F.col("value").alias("_v"), "single").agg(F.count(F.lit(1)).alias("_rows"))
     held = everywhere.join(negatives, ["hypothesis", "field"], "left").groupBy(
         "hypothesis", "field", "clause", "value", "_neg").agg(
-        F.count_if(clause_holds(F.col("clause"), F.array("value"), F.col("_l"), F.col("_v"), F.col("single"))).alias("_held"))
+        F.sum(F.when(clause_holds(F.col("clause"), F.array("value"), F.col("_l"), F.col("_v"), F.col("single")), F.col("_rows")).otherwise(0)).alias("_held"))
     return held.withColumn("broken_by", F.col("_neg") - F.col("_held")).filter("broken_by > 0").drop("_neg", "_held")
 
 

@@ -229,9 +229,30 @@ def part_records(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), content.alias("content"))
 
 
-@query("i30_line_patterns")
+# Contents by first line with the earlier near ones of each; then a pass over them that holds the leaders so far.
+I30_SQL = """
+WITH RECURSIVE parts AS (
+  SELECT p_partkey AS idx, split_part(p_name, ' ', 1) AS colour, string_split(p_name, ' ')[-1] AS thing, p_type AS type,
+    chr(CAST(65 + CAST(substr(p_brand, 7, 5) AS BIGINT) % 26 AS INTEGER)) AS brand, chr(CAST(65 + p_size % 26 AS INTEGER)) AS size FROM part),
+c AS (
+  SELECT row_number() OVER (ORDER BY min(idx)) AS i, count(*) AS times, colour, thing, type, brand, size FROM parts GROUP BY ALL),
+near AS (
+  SELECT b.i, list(a.i) AS earlier FROM c a JOIN c b ON a.i < b.i AND CAST(a.colour <> b.colour AS INTEGER) + CAST(a.thing <> b.thing AS INTEGER)
+    + CAST(a.type <> b.type AS INTEGER) + CAST(a.brand <> b.brand AS INTEGER) + CAST(a.size <> b.size AS INTEGER) <= 3 GROUP BY b.i),
+taken AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders, CAST(0 AS BIGINT) AS leader
+  UNION ALL
+  SELECT n.i, CASE WHEN n.first IS NULL THEN list_append(n.leaders, n.i) ELSE n.leaders END, coalesce(n.first, n.i)
+  FROM (SELECT c.i, t.leaders, list_min(list_intersect(near.earlier, t.leaders)) AS first
+        FROM taken t JOIN c ON c.i = t.i + 1 LEFT JOIN near ON near.i = c.i) n)
+SELECT concat_ws(chr(31), 'brand=' || l.brand, 'colour=' || l.colour, 'size=' || l.size, 'thing=' || l.thing, 'type=' || l.type) AS pattern,
+  CAST(sum(c.times) AS BIGINT) AS times, count(*) AS variants
+FROM taken t JOIN c ON c.i = t.i JOIN c l ON l.i = t.leader GROUP BY 1"""
+
+
+@query("i30_line_patterns", I30_SQL)
 def i30_lines(spark, sf):
-    return df_.line_patterns(part_records(spark, sf), 1)
+    return df_.line_patterns(part_records(spark, sf))
 
 
 @query("f8_differing_keys", """
@@ -266,18 +287,15 @@ def text_patterns(spark, sf, run):
     return lines.select(F.trim(df_.masked(F.col("line"))).alias("pattern"))
 
 
-@query("u1_new_patterns", r"""
-WITH p AS (SELECT lang, trim(regexp_replace(unnest(string_split(text, chr(10))), '\d+', '0', 'g')) AS pattern FROM documents)
-SELECT pattern FROM p WHERE lang = 'en' EXCEPT SELECT pattern FROM p WHERE lang = 'fr'""")
-def u1(spark, sf):
-    return df_.new_patterns(text_patterns(spark, sf, "lang = 'fr'"), text_patterns(spark, sf, "lang = 'en'"))
+# The two runs are the even and the odd documents, so that every line is in one of them.
+U1_SQL = r"""
+WITH p AS (SELECT coalesce(doc_id, 0) % 2 <> 0 AS second, trim(regexp_replace(unnest(string_split(text, chr(10))), '\d+', '0', 'g')) AS pattern FROM documents)
+SELECT pattern FROM p WHERE second EXCEPT SELECT pattern FROM p WHERE NOT second"""
 
 
-# The two runs above are two of the languages, as in the SQL; here they are the even and the odd documents.
-@query("u1_all_new_patterns", r"""
-WITH p AS (SELECT coalesce(doc_id, 0) % 2 <> 0 AS second, trim(regexp_replace(unnest(string_split(text, chr(10))), '\d+', '0', 'g')) AS pattern FROM documents)
-SELECT pattern FROM p WHERE second EXCEPT SELECT pattern FROM p WHERE NOT second""")
-def u1_all(spark, sf):
+@query("u1_all_new_patterns", U1_SQL)
+@query("u1_new_patterns", U1_SQL)
+def u1(spark, sf):
     second = "coalesce(doc_id, 0) % 2 <> 0"
     return df_.new_patterns(text_patterns(spark, sf, f"not ({second})"), text_patterns(spark, sf, second))
 

@@ -262,47 +262,37 @@ def i10(spark, sf):
 
 RELATED_SQL = SHORT_SQL + """,
 accesses AS (SELECT DISTINCT user_id % 4 AS process_id, user_id * 10 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS obj_id,
-  'p' || CAST(user_id // 4 AS VARCHAR) AS var_name, 'layer_' || CAST(user_id // 8 AS VARCHAR) AS var_type FROM events WHERE event_type = 'click'),
+  'p' || CAST(user_id // 4 AS VARCHAR) AS var_name, 'layer_' || CAST(user_id // 8 AS VARCHAR) AS var_type FROM events),
 related AS (SELECT s.process_id, s.call_id, s.obj_id, var_name, var_type FROM short s JOIN accesses USING (process_id, obj_id))"""
 
 
-def related(spark, sf, accessing="event_type = 'click'"):
+def related(spark, sf):
     user = F.col("user_id")
-    accesses = table(spark, sf, "events").filter(accessing).select(
+    accesses = table(spark, sf, "events").select(
         (user % 4).alias("process_id"), (user * 10 + b.prop_k() % 3).alias("obj_id"),
         F.concat(F.lit("p"), F.floor(user / 4).cast("string")).alias("var_name"),
         F.concat(F.lit("layer_"), F.floor(user / 8).cast("string")).alias("var_type"))
     return tr.related_variables(short_calls(spark, sf), accesses)
 
 
-@query("i5_related_variables", "WITH " + RELATED_SQL + "\nSELECT process_id, call_id, obj_id, var_name, var_type FROM related")
+I5_SQL = "WITH " + RELATED_SQL + "\nSELECT process_id, call_id, obj_id, var_name, var_type FROM related"
+J10_SQL = "WITH " + RELATED_SQL + """
+SELECT call_id, process_id, var_name, var_type FROM related r WHERE NOT EXISTS (
+  SELECT 1 FROM changed c WHERE c.parent_id = r.call_id AND c.process_id = r.process_id AND c.var_name = r.var_name AND c.var_type = r.var_type)"""
+
+
+@query("i5_all_related_variables", I5_SQL)
+@query("i5_related_variables", I5_SQL)
 def i5(spark, sf):
     return related(spark, sf).select("process_id", "call_id", "obj_id", "var_name", "var_type")
 
 
-@query("j10_unchanged_related", "WITH " + RELATED_SQL + """
-SELECT call_id, process_id, var_name, var_type FROM related r WHERE NOT EXISTS (
-  SELECT 1 FROM changed c WHERE c.parent_id = r.call_id AND c.process_id = r.process_id AND c.var_name = r.var_name AND c.var_type = r.var_type)""")
+@query("j10_all_unchanged_related", J10_SQL)
+@query("j10_unchanged_related", J10_SQL)
 def j10(spark, sf):
     return tr.unchanged_related(related(spark, sf), changed(spark, sf)).select("call_id", "process_id", "var_name", "var_type")
 
 
-# The two queries above take clicks for accesses, as their SQL does; in these every event is one.
-ALL_RELATED_SQL = RELATED_SQL.replace(" WHERE event_type = 'click'", "")
-
-
-@query("i5_all_related_variables", "WITH " + ALL_RELATED_SQL + "\nSELECT process_id, call_id, obj_id, var_name, var_type FROM related")
-def i5_all(spark, sf):
-    return related(spark, sf, "true").select("process_id", "call_id", "obj_id", "var_name", "var_type")
-
-
-@query("j10_all_unchanged_related", "WITH " + ALL_RELATED_SQL + """
-SELECT call_id, process_id, var_name, var_type FROM related r WHERE NOT EXISTS (
-  SELECT 1 FROM changed c WHERE c.parent_id = r.call_id AND c.process_id = r.process_id AND c.var_name = r.var_name AND c.var_type = r.var_type)""")
-def j10_all(spark, sf):
-    return tr.unchanged_related(related(spark, sf, "true"), changed(spark, sf)).select("call_id", "process_id", "var_name", "var_type")
-
-
 @query("i6_raw_records_before", "WITH " + STATES_SQL + """,
 moments AS (SELECT process_id, var_name, var_type, max(time) - 432000000000 AS moment FROM vars GROUP BY ALL)
 SELECT v.process_id, v.var_name, v.attr, v.time, moment FROM vars v JOIN moments m USING (process_id, var_name, var_type) WHERE v.time < moment""")
@@ -400,22 +390,7 @@ def lead_rules(spark, sf):
     return i15(spark, sf).filter("positives * 2.1 > negatives + positives").select(F.col("subject").alias("a"), F.col("other").alias("b"))
 
 
-@query("i19_merged_chains", "WITH RECURSIVE " + order_sql(True) + """,
-edges AS (SELECT subject AS a, other AS b FROM examples GROUP BY ALL HAVING sum(polarity) * 2.1::DOUBLE > count(*) AND subject < other),
-paths AS (
-  SELECT [a] AS path, a AS tip FROM (SELECT DISTINCT a FROM edges) WHERE a NOT IN (SELECT b FROM edges)
-  UNION ALL
-  SELECT list_append(path, e.b), e.b FROM paths JOIN edges e ON e.a = tip
-  WHERE NOT list_contains(path, e.b) AND (SELECT count(*) FROM edges f WHERE f.b = e.b AND list_contains(path, f.a)) = len(path))
-SELECT array_to_string(path, '>') AS chain FROM paths WHERE tip NOT IN (SELECT a FROM edges)""")
-def i19(spark, sf):
-    # Only one direction of each pair, as rules in both directions have no first function.
-    chains = rel.merged_chains(lead_rules(spark, sf).filter("a < b"))
-    return chains.select(F.concat_ws(">", "path").alias("chain"))
-
-
-# The query above has one direction of each pair, as its SQL does; this one has all rules.
-@query("i19_all_chains", "WITH RECURSIVE " + order_sql(True) + """,
+I19_SQL = "WITH RECURSIVE " + order_sql(True) + """,
 rules AS (SELECT subject AS a, other AS b FROM examples GROUP BY ALL HAVING sum(polarity) * 2.1::DOUBLE > count(*)),
 reach AS (SELECT a, b FROM rules UNION SELECT reach.a, rules.b FROM reach JOIN rules ON rules.a = reach.b),
 named AS (
@@ -428,8 +403,12 @@ paths AS (
   UNION ALL
   SELECT list_append(path, e.b), e.b FROM paths JOIN edges e ON e.a = tip
   WHERE NOT list_contains(path, e.b) AND (SELECT count(*) FROM edges f WHERE f.b = e.b AND list_contains(path, f.a)) = len(path))
-SELECT array_to_string(path, '>') AS chain FROM paths WHERE tip NOT IN (SELECT a FROM edges)""")
-def i19_all(spark, sf):
+SELECT array_to_string(path, '>') AS chain FROM paths WHERE tip NOT IN (SELECT a FROM edges)"""
+
+
+@query("i19_all_chains", I19_SQL)
+@query("i19_merged_chains", I19_SQL)
+def i19(spark, sf):
     return rel.merged_chains(lead_rules(spark, sf)).select(F.concat_ws(">", "path").alias("chain"))
 
 
@@ -466,7 +445,7 @@ def u6(spark, sf):
 
 @query("i8_sampled_calls")
 def i8(spark, sf):
-    return rel.sampled_calls(calls(spark, sf), above=300).select("function", "call_id", "start")
+    return rel.sampled_calls(calls(spark, sf)).select("function", "call_id", "start")
 
 
 @query("i9_merged_containment", "WITH " + SHORT_SQL + """,
