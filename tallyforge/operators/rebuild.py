@@ -380,6 +380,7 @@ def adaptive_threshold(scores: DataFrame, risk: float = 1e-4, level: float = 0.9
 
         for batch in batches:
             for name, part in batch.groupby("series", sort=False, dropna=False):
+                name = None if pd.isna(name) else name  # a null series goes on from batch to batch like any other
                 if name != series:
                     if first:  # the series before was shorter than a calibration
                         spot = started(first)

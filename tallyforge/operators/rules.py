@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -183,3 +184,14 @@ def once_per_interval(rows: DataFrame, keys: list[str], interval_us: int, max_ro
         ahead = jump.select("_key", F.col("t").alias("_next"), F.col("_next").alias("_after"))
         jump = cut_lineage(jump.join(ahead, ["_key", "_next"]).select("_key", "t", F.col("_after").alias("_next")))
     return nodes.join(passed, ["_key", "t"]).select("_row.*")
+
+
+def report_every(events: DataFrame, n: int, keys: Sequence[str], value: str, max_rows: int | None = None) -> DataFrame:
+    """The state of a key's counters at each ``n``-th of its events (R6): keys, t, events, total.
+
+    Events count in the order of t and seq; a null value adds nothing. A key with under ``n`` events has no report.
+    ``streaming.stateful.reports_every`` does the same on a stream.
+    """
+    counted = running(events.select(*keys, "t", "seq", value), keys, [F.col("t"), F.col("seq")], {
+        "events": ("sum", F.lit(1).cast("long")), "total": ("sum", F.col(value))}, max_rows)
+    return counted.filter(F.col("events") % n == 0).select(*keys, "t", "events", F.coalesce("total", F.lit(0)).alias("total"))

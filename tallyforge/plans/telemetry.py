@@ -377,6 +377,16 @@ def r2_exact(spark, sf):
     return rules.once_per_interval(running_totals(spark, sf), ["pid"], 30_000_000)
 
 
+@query("r6_reports_every_n", """
+SELECT pid, t, events, CAST(total AS BIGINT) AS total FROM (
+  SELECT user_id AS pid, epoch_us(ts) AS t, row_number() OVER w AS events, sum(CAST(floor(value) AS BIGINT)) OVER w AS total
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING)) WHERE events % 7 = 0""")
+def r6(spark, sf):
+    events = b.table(spark, sf, "events").select(
+        F.col("user_id").alias("pid"), b.micros("ts").alias("t"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("v"))
+    return rules.report_every(events, 7, ["pid"], "v")
+
+
 @query("w10_bytes_since_sample", RUNNING_NET_SQL + """
 SELECT pid, t, tx_total, greatest(tx_total - coalesce(lag(tx_total) OVER w, 0), 0) AS tx_total_delta,
        greatest(rx_total - coalesce(lag(rx_total) OVER w, 0), 0) AS rx_total_delta

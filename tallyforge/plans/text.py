@@ -154,6 +154,36 @@ def d18_summary(spark, sf):
     return logs.issue_summary(d18(spark, sf))
 
 
+# --- open-ended traces ---------------------------------------------------------------
+
+def trace_lines(spark, sf):
+    """Events as JSON lines in which the user is a number, a text or null."""
+    user = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit('"u'), "user_id", F.lit('"'))).otherwise(F.col("user_id").cast("string"))
+    return table(spark, sf, "events").select(F.concat(
+        F.lit('{"id":'), "event_id", F.lit(',"user":'), F.coalesce(user, F.lit("null")), F.lit(',"meta":{"props":'), F.coalesce("props", F.lit("null")),
+        F.lit("}}")).alias("value"))
+
+
+@query("s3_trace_paths", """
+WITH seen AS (
+  SELECT 'id' AS path, 'BIGINT' AS type FROM events
+  UNION ALL SELECT 'user', CASE WHEN user_id IS NULL THEN 'VOID' WHEN user_id % 3 = 0 THEN 'STRING' ELSE 'BIGINT' END FROM events
+  UNION ALL SELECT 'meta.props', 'VOID' FROM events WHERE props IS NULL
+  UNION ALL SELECT 'meta.props.' || key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' ELSE json_type(props, '$.' || key) END
+  FROM (SELECT props, unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL))
+SELECT path, type, count(*) AS records FROM seen GROUP BY ALL""")
+def s3_paths(spark, sf):
+    return readers.trace_paths(readers.trace_records(trace_lines(spark, sf)))
+
+
+@query("s3_trace_fields", """
+SELECT event_id AS id, CASE WHEN user_id % 3 <> 0 THEN user_id END AS user_number, CASE WHEN user_id % 3 = 0 THEN 'u' || user_id ELSE CAST(user_id AS VARCHAR) END AS user_text,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def s3_fields(spark, sf):
+    return readers.trace_fields(readers.trace_records(trace_lines(spark, sf)), {
+        "id": ("$.id", "long"), "user_number": ("$.user", "long"), "user_text": ("$.user", "string"), "k": ("$.meta.props.k", "long")})
+
+
 # --- diffs ---------------------------------------------------------------------------
 
 SPLIT_US = 1_705_363_200_000_000

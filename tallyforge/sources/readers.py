@@ -5,7 +5,8 @@ Each ``parse_*`` works on a table of texts (column ``value``), each ``read_*`` o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +57,69 @@ def flattened(df: DataFrame, separator: str = ".", keep: Sequence[str] = NESTED_
     return df.select(*walk(df.schema, ()))
 
 
+def trace_records(lines: DataFrame) -> DataFrame:
+    """Texts (column ``value``) as ``record``, a VARIANT that holds whatever fields and types a line has (S3).
+
+    No schema is needed or inferred. A blank line has no record; one that is no JSON has a null record.
+    """
+    return lines.filter(F.trim("value") != "").select(F.try_parse_json("value").alias("record"))
+
+
+def trace_fields(records: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Typed columns out of records: name -> (path, type). A value of another type gives null (S3)."""
+    return records.select(*[F.try_variant_get("record", path, kind).alias(name) for name, (path, kind) in fields.items()])
+
+
+def trace_paths(records: DataFrame, keep: Sequence[str] = NESTED_FIELDS, separator: str = ".") -> DataFrame:
+    """The merged path table: path, type, records with it. A path with values of several types has a row for each.
+
+    Objects are opened level by level; those under a name of ``keep`` and arrays stay closed.
+    """
+    spark = records.sparkSession
+    kind = F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)
+
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("type", F.when(kind == "DECIMAL", "DOUBLE").otherwise(kind))
+
+    level = typed(records.filter("record is not null").select(F.lit(None).cast("string").alias("path"), F.lit(True).alias("opens"), F.col("record").alias("v")))
+    out = None
+    while True:
+        level = cut_lineage(level)
+        inner = level.filter((F.col("type") == "OBJECT") & F.col("opens")).select(F.col("path").alias("above"), "v")
+        shown = level.filter(~((F.col("type") == "OBJECT") & F.col("opens")) & F.col("path").isNotNull()).groupBy("path", "type").agg(
+            F.count(F.lit(1)).alias("records"))
+        out = shown if out is None else out.unionByName(shown)
+        if inner.isEmpty():
+            return out
+        entries = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(
+            F.col("key").alias("name"), F.col("value").alias("entry")))
+        level = typed(entries.select(F.concat_ws(separator, "above", "name").alias("path"), (~F.col("name").isin(*keep)).alias("opens"), F.col("entry").alias("v")))
+
+
+def merged_schema(records: DataFrame) -> str | None:
+    """One schema for all records: a field whose types disagree stays VARIANT, one that is always null is text."""
+    found = records.agg(F.schema_of_variant_agg("record")).first()[0]
+    if not found.startswith("OBJECT<"):
+        return None  # no record, or records that are no objects
+    # type names only: what stands in backticks is a field's name
+    parts = re.split(r"(`(?:[^`]|``)*`)", found)
+    for old, new in ((r"\bOBJECT<", "STRUCT<"), (r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE"), (r"(?<=: )VOID\b|(?<=<)VOID\b", "STRING")):
+        parts[::2] = [re.sub(old, new, part) for part in parts[::2]]
+    return "".join(parts)
+
+
 def read_trace(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Training trace JSON lines, flattened (S3)."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return flattened(reader.json(path))
+    """Training trace JSON lines, flattened (S3).
+
+    Without ``schema`` the records' own types are merged in one distributed pass; a field with conflicting types
+    becomes a VARIANT column that holds each value as it was. A trace without any object gives no columns.
+    """
+    if schema is None:
+        schema = merged_schema(trace_records(spark.read.text(path)))
+        if schema is None:
+            return spark.createDataFrame([], T.StructType([]))
+        schema = spark.createDataFrame([], f"row {schema}").schema["row"].dataType
+    return flattened(spark.read.schema(schema).json(path))
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ that is None. A timeout keeps the stream running batches, so a run that should e
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,28 +38,57 @@ def paired_calls(events: DataFrame, timeout_ms: int | None = TIMEOUT_MS) -> Data
         if state.hasTimedOut:
             state.remove()
             return
-        pending = tuple(state.get) if state.exists else (None, None)
-        out = []
-        for row in _rows(batches).itertuples():
-            if row.is_enter:
-                pending = (row.t, row.function_name)
-            elif pending[0] is not None:
-                out.append((*key, pending[1], pending[0], row.t, row.t - pending[0]))
-                pending = (None, None)
-        if pending[0] is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((int(pending[0]), pending[1]))
+        pending_t, pending_name = state.get if state.exists else (0, None)
+        rows = _rows(batches)
+        enters, t, names = rows["is_enter"].to_numpy(bool), rows["t"].to_numpy(), rows["function_name"].to_numpy(object)
+        # an exit pairs exactly when the row before it is an enter; before the first row of a batch stands the state
+        started = np.append(state.exists, enters[:-1])
+        start_t, start_name = np.append(pending_t, t[:-1]), np.append(np.array([pending_name], object), names[:-1])
+        hit = started & ~enters
+        if enters[-1]:
+            state.update((int(t[-1]), names[-1]))
             if timeout_ms is not None:
                 state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["tgid", "pid", "cookie", "function_name", "start_t", "t", "duration"])
+        elif state.exists:
+            state.remove()
+        ids = {name: [value] * int(hit.sum()) for name, value in zip(("tgid", "pid", "cookie"), key, strict=True)}
+        yield pd.DataFrame({**ids, "function_name": start_name[hit], "start_t": start_t[hit], "t": t[hit], "duration": (t - start_t)[hit]})
 
     return events.groupBy("tgid", "pid", "cookie").applyInPandasWithState(
         step, "tgid long, pid long, cookie long, function_name string, start_t long, t long, duration long",
         "start_t long, function_name string", "append", _kind(timeout_ms))
 
 
+def reports_every(events: DataFrame, n: int, keys: Sequence[str], value: str, timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
+    """The counters of a key at each ``n``-th of its events on a stream (R6): keys, t, events, total.
+
+    The count goes on across micro-batches, so a batch may end between two reports. The state is two numbers a key;
+    rows of a micro-batch count in the order of t and seq, micro-batches in the order they come. A null value adds nothing.
+    The key columns and the long value keep their types.
+    """
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        events_before, total_before = state.get if state.exists else (0, 0)
+        rows = _rows(batches)
+        # whole numbers even where nulls make pandas hold floats
+        total = total_before + rows[value].fillna(0).astype("int64").cumsum().to_numpy()
+        number = events_before + np.arange(1, len(rows) + 1)
+        state.update((int(number[-1]), int(total[-1])))
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
+        due = number % n == 0
+        out = {k: [v] * int(due.sum()) for k, v in zip(keys, key, strict=True)}
+        yield pd.DataFrame({**out, "t": rows["t"].to_numpy()[due], "events": number[due], "total": total[due]})
+
+    columns = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "t long", "events long", "total long"])
+    return events.select(*keys, "t", "seq", value).groupBy(*keys).applyInPandasWithState(
+        step, columns, "events long, total long", "append", _kind(timeout_ms))
+
+
 def window_scores(points: DataFrame, window: int = WINDOW, draws: int = 40, size: int = 20,
                   timeout_ms: int | None = TIMEOUT_MS) -> DataFrame:
     """Outlier scores of every full count window of a series on a stream.

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyforge.functions import tails
-from tallyforge.operators import pairing
+from tallyforge.operators import pairing, rules
 from tallyforge.sources import readers, writers
 from tallyforge.streaming import counters, stateful
 
@@ -53,6 +53,26 @@ def test_one_warning_per_interval(spark, tmp_path):
     assert live.count() == counters.one_warning(df, ["pid"]).count() == 20
 
 
+def test_reports_every_n_events_equal_the_batch(spark, rows, tmp_path):
+    # 50 events a micro-batch, three keys, a report every 7: no border of a batch is one of a report
+    data = [("abc"[i * i % 3], i, i, None if i % 11 == 0 else i % 5) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, t long, seq long, v long")
+    for first in range(0, 400, 50):
+        df.filter(f"t >= {first} and t < {first + 50}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = drained(stateful.reports_every(source, 7, ["k"], "v", timeout_ms=None), "reports", str(tmp_path / "cp"))
+    want, held = [], {}
+    for k, t, _, v in data:
+        n, total = held.get(k, (0, 0))
+        held[k] = n, total = n + 1, total + (v or 0)
+        if n % 7 == 0:
+            want.append((k, t, n, total))
+    assert rows(live) == sorted(want, key=repr)
+    for limit in (None, 20):
+        assert rows(rules.report_every(df, 7, ["k"], "v", limit)) == sorted(want, key=repr)
+    assert rules.report_every(df.filter("false"), 7, ["k"], "v").count() == 0
+
+
 def test_fan_out(spark, tmp_path):
     df = spark.createDataFrame([("cpu", 1), ("io", 2), ("cpu", 3)], "domain string, v long")
     seen = {}
@@ -91,6 +111,36 @@ def test_trace_json_is_flattened(spark, tmp_path):
     assert set(df.columns) == {"a.b.c", "args", "time"} and df.select("args.x.y").first()[0] == 2
 
 
+def test_traces_with_conflicting_types_keep_every_value(spark, rows, tmp_path):
+    import json
+
+    first = [{"id": i, "x": i, "deep": {"n": i / 2, "odd name": [i]}, "args": {"a": 1}, "none": None} for i in range(4)]
+    second = [{"id": i, "x": f"text {i}", "deep": {"n": None, "odd name": [i]}, "args": {"a": "1"}, "more": True} for i in range(4, 7)]
+    third = [{"id": 7, "x": {"y": [1, "2"]}, "deep": 5, "args": {"b": 2}}, {"id": 8}]
+    data = first + second + third
+    for name, part in (("a", first), ("b", second), ("c", third)):
+        (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, part)) + "\n\n")
+    df = readers.read_trace(spark, str(tmp_path))
+    assert set(df.columns) == {"id", "x", "deep", "args", "none", "more"}
+    shown = df.select("id", F.to_json("x").alias("x"), F.to_json("deep").alias("deep"), "more").collect()
+    for r in shown:
+        want = data[r.id]
+        assert (r.x is None) == ("x" not in want) and (r.x is None or json.loads(r.x) == want["x"])
+        assert (r.deep is None) == ("deep" not in want) and (r.deep is None or json.loads(r.deep) == want["deep"])
+        assert r.more == want.get("more")
+    records = readers.trace_records(spark.read.text(str(tmp_path)))
+    assert records.count() == len(data)
+    typed = readers.trace_fields(records, {"id": ("$.id", "long"), "x": ("$.x", "long"), "n": ("$.deep.n", "double")})
+    assert rows(typed.filter("id < 6"), "id", "x", "n") == sorted([(i, i, i / 2) for i in range(4)] + [(4, None, None), (5, None, None)], key=repr)
+    assert rows(readers.trace_paths(records), "path", "type", "records") == sorted([
+        ("id", "BIGINT", 9), ("x", "BIGINT", 4), ("x", "STRING", 3), ("x.y", "ARRAY", 1), ("deep.n", "DOUBLE", 4), ("deep.n", "VOID", 3),
+        ("deep.odd name", "ARRAY", 7), ("deep", "BIGINT", 1), ("args", "OBJECT", 8), ("none", "VOID", 4), ("more", "BOOLEAN", 3)], key=repr)
+    assert readers.trace_paths(records.filter("false")).count() == 0
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.json").write_text("\n[1]\nno json\n")
+    assert readers.read_trace(spark, str(tmp_path / "empty")).columns == []
+
+
 def test_invariants_results_and_reports(spark, rows, tmp_path):
     clauses = spark.createDataFrame([("h", 0, False, "f", "constant", ["1"])], readers.CLAUSE_SCHEMA)
     writers.write_invariants(clauses, str(tmp_path / "inv"))
