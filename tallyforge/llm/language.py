@@ -6,8 +6,9 @@ a forward pass adds up; a text's likelihood is the product over its runs. The pi
 language are fitted by expectation maximisation on labelled texts: forward and backward passes give the expected uses
 of each piece, in tasks over distinct words, and one row for each language and piece comes back.
 
-Runs of over `LONGEST` letters are scored as consecutive parts of that length. Letters outside the vocabulary
-cost a fixed probability each.
+Runs of one length pass together as matrices. Runs of over `LONGEST` letters pass letter by letter and carry the forward
+state of the last letters, scaled as they go, so a run of any length is summed whole and in little memory. Letters outside
+the vocabulary cost a fixed probability each.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tallyforge.llm.pieces import Memo, slices
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
-MAX_PIECE = 8
+CELLS = 2_000_000  # letters of long runs that pass together
 UNKNOWN = 1e-6
 FAR = 6.0  # standard deviations that a text's mean log likelihood a letter may lie below its language's
 LEAST_SPREAD = 0.1  # of that likelihood among the texts of one language, however alike the labelled ones are
@@ -41,32 +42,37 @@ MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
 
 @lru_cache(maxsize=2)
 def letter_pieces(path: str) -> list[str]:
-    """Distinct lower-case pieces of at most MAX_PIECE characters that hold letters only, but for a leading mark."""
+    """Distinct lower-case pieces that hold letters only, but for a leading mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if len(p) <= MAX_PIECE and (p == MARK or LETTERS.fullmatch(p.removeprefix(MARK))))
+    return sorted(p for p in found if p == MARK or LETTERS.fullmatch(p.removeprefix(MARK)))
 
 
 def _runs(word: str) -> list[str]:
-    """Letter runs as marked strings of at most LONGEST + 1 characters."""
-    return [MARK + run[i:i + LONGEST] for run in LETTERS.findall(word) for i in range(0, len(run), LONGEST)]
+    """Letter runs, each with a mark before it."""
+    return [MARK + run for run in LETTERS.findall(word)]
 
 
 def _matrix(runs: list[str], size: int) -> np.ndarray:
     return np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).reshape(-1, size).astype(np.uint64)
 
 
-def _by_size(runs: list[str]) -> Iterator[tuple[int, np.ndarray]]:
-    """Length and positions of runs of one length, some rows at a time."""
+def _by_size(runs: list[str], most: float = np.inf) -> Iterator[tuple[int, np.ndarray]]:
+    """Length and positions of runs of one length up to `most`, some rows at a time."""
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-    for size in np.unique(sizes):
+    for size in np.unique(sizes[sizes <= most]):
         at = np.flatnonzero(sizes == size)
         for i in range(0, len(at), ROWS):
             yield int(size), at[i:i + ROWS]
 
 
+def _long(runs: list[str]) -> list[int]:
+    """Positions of the runs of over LONGEST letters, the shortest first."""
+    return sorted((i for i, run in enumerate(runs) if len(run) > LONGEST + 1), key=lambda i: len(runs[i]))
+
+
 def _hashes(pieces: list[str]) -> np.ndarray:
     out = np.zeros(len(pieces), np.uint64)
     for size, at in _by_size(pieces):
@@ -86,6 +92,7 @@ class Model:
     table: HashTable
     probabilities: np.ndarray  # [pieces + 1, languages], already lifted by LIFT ** length
     usual: np.ndarray | None = None  # [languages, 3]: log likelihood a letter, its variance among texts, and that of a single letter
+    span: int = 16  # the length of the longest piece
 
     def spans(self, codes: np.ndarray) -> list[list[np.ndarray]]:
         """[start][length - 1] -> row of the piece that covers those letters, or -1."""
@@ -93,7 +100,7 @@ class Model:
         out = []
         for start in range(size):
             value, row = np.zeros(len(codes), np.uint64), []
-            for end in range(start, min(size, start + MAX_PIECE)):
+            for end in range(start, min(size, start + self.span)):
                 value = (value + codes[:, end]) * MULTIPLIER
                 row.append(self.table.get(value))
             row[0] = np.where(row[0] < 0, unknown, row[0])
@@ -106,7 +113,7 @@ class Model:
         before = [np.ones((rows, self.probabilities.shape[1]))]
         for end in range(1, len(spans) + 1):
             total = np.zeros_like(before[0])
-            for start in range(max(0, end - MAX_PIECE), end):
+            for start in range(max(0, end - self.span), end):
                 ids = spans[start][end - start - 1]
                 hit = np.flatnonzero(ids >= 0)
                 if len(hit) * 2 < rows:
@@ -116,6 +123,31 @@ class Model:
             before.append(total)
         return before
 
+    def long_runs(self, runs: list[str]) -> np.ndarray:
+        """Log likelihood of each run under each language, letter by letter over all of them; shorter ones are padded."""
+        sizes, kinds = np.array([len(run) for run in runs]), self.probabilities.shape[1]
+        codes = np.zeros((len(runs), sizes.max()), np.uint64)
+        for row, run in enumerate(runs):
+            codes[row, :len(run)] = _matrix([run], len(run))[0]
+        padded, unknown = np.vstack([self.probabilities, np.zeros(kinds)]), len(self.probabilities) - 1
+        hashes = np.zeros((self.span, len(runs)), np.uint64)  # [length - 1]: of the piece that ends here
+        recent = np.zeros((self.span, len(runs), kinds))  # [n]: probability of the prefix n letters back, over that of the last one
+        recent[0] = 1.0
+        logs, out = np.zeros((len(runs), kinds)), np.zeros((len(runs), kinds))
+        for end in range(1, codes.shape[1] + 1):
+            hashes[1:] = hashes[:-1]
+            hashes[0] = 0
+            hashes = (hashes + codes[:, end - 1]) * MULTIPLIER
+            ids = self.table.get(hashes.ravel()).reshape(hashes.shape)
+            ids[0] = np.where(ids[0] < 0, unknown, ids[0])
+            total = (recent * padded[ids]).sum(axis=0)
+            logs += np.log(total)
+            recent[1:] = recent[:-1] / total
+            recent[0] = 1.0
+            done = sizes == end
+            out[done] = logs[done]
+        return out - sizes[:, None] * np.log(LIFT)
+
     def floor(self, language: np.ndarray, letters: np.ndarray) -> np.ndarray:
         """The least log likelihood a letter that a text of so many letters has if it is of the language."""
         if self.usual is None:
@@ -129,19 +161,28 @@ class Model:
         runs = [_runs(word) for word in words]
         owner = np.repeat(np.arange(len(words)), [len(r) for r in runs])
         flat = list(chain.from_iterable(runs))
-        for size, at in _by_size(flat):
+        for size, at in _by_size(flat, LONGEST + 1):
             codes = _matrix([flat[i] for i in at], size)
             last = self.forward(self.spans(codes), len(at))[-1]
             np.add.at(out, owner[at], np.hstack([np.log(last) - size * np.log(LIFT), np.full((len(at), 1), size - 1.0)]))
+        at: list[int] = []
+        for i in [*_long(flat), -1]:  # runs of like length together, so that little is padded
+            if at and (i < 0 or len(flat[i]) > 2 * len(flat[at[0]]) or len(flat[i]) * (len(at) + 1) > CELLS):
+                letters = np.array([[len(flat[j]) - 1.0] for j in at])
+                np.add.at(out, owner[at], np.hstack([self.long_runs([flat[j] for j in at]), letters]))
+                at = []
+            at.append(i)
         return out
 
 
 def _expected(model: Model, language: int, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in `words` under one language, by forward and backward passes."""
     out = np.zeros(len(model.probabilities))
-    own = Model([model.languages[language]], model.table, model.probabilities[:, [language]])
+    own = Model([model.languages[language]], model.table, model.probabilities[:, [language]], span=model.span)
     chance = np.append(own.probabilities[:, 0], 0.0)
-    for size, at in _by_size(words):
+    for i in _long(words):
+        out += _expected_long(own, words[i], counts[i])
+    for size, at in _by_size(words, LONGEST + 1):
         spans = own.spans(_matrix([words[i] for i in at], size))
         before = [b[:, 0] for b in own.forward(spans, len(at))]
         behind = [np.zeros(len(at)) for _ in range(size)] + [np.ones(len(at))]
@@ -157,6 +198,29 @@ def _expected(model: Model, language: int, words: list[str], counts: np.ndarray)
     return out
 
 
+def _expected_long(model: Model, word: str, count: float) -> np.ndarray:
+    """What `_expected` gives for one long run under a model of one language, in logarithms."""
+    size, unknown = len(word), len(model.probabilities) - 1
+    codes, value = _matrix([word], len(word))[0], np.zeros(len(word), np.uint64)
+    ids = np.full((size, model.span), -1, np.int64)  # [start, length - 1]
+    for n in range(min(model.span, size)):
+        value = (value[:size - n] + codes[n:]) * MULTIPLIER
+        ids[:size - n, n] = model.table.get(value)
+    ids[ids[:, 0] < 0, 0] = unknown
+    with np.errstate(divide="ignore"):
+        chance = np.log(np.append(model.probabilities[:, 0], 0.0))[ids]
+    before, behind = np.full(size + 1, -np.inf), np.full(size + 1 + model.span, -np.inf)
+    before[0] = behind[size] = 0.0
+    for end in range(1, size + 1):
+        n = np.arange(1, min(model.span, end) + 1)
+        before[end] = np.logaddexp.reduce(before[end - n] + chance[end - n, n - 1])
+    for start in range(size - 1, -1, -1):
+        behind[start] = np.logaddexp.reduce(chance[start] + behind[start + 1:start + 1 + model.span])
+    ends = np.arange(size)[:, None] + np.arange(1, model.span + 1)
+    share = np.exp(before[:size, None] + chance + behind[ends] - before[size])
+    return np.bincount(ids[ids >= 0], share[ids >= 0] * count, len(model.probabilities))
+
+
 def _probabilities(uses: np.ndarray, pieces: list[str]) -> np.ndarray:
     """Smoothed shares of the pieces of each language, lifted; the last row is an unknown letter's."""
     known = uses[:len(pieces)] + 0.1
@@ -212,15 +276,13 @@ def train(labelled: DataFrame, path: str, *, text: str = "text", lang: str = "la
           sample: int = 2000, rounds: int = 3, max_languages: int = 256) -> Model:
     """Fit the model on labelled rows (rows without label or text are left out).
 
-    The fit uses about `sample` documents of each language, those whose id hashes lowest, so its cost is
-    bounded; the driver gets one number for each language and piece of the fixed vocabulary. More than
-    `max_languages` different labels are an error.
+    The fit uses about `sample` documents of each language, those whose id and text hash lowest, so its cost is
+    bounded; the driver gets one number for each language and piece of the fixed vocabulary. Of more than
+    `max_languages` different labels, those with the most rows are learned, of equal ones the first by name.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(lang).count().limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than {max_languages} languages are labelled")
+    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(max_languages).collect()
     languages = sorted(r[lang] for r in sizes)
     pieces = letter_pieces(path)
     table = HashTable(_hashes(pieces), np.arange(len(pieces), dtype=np.int32), -1)
@@ -228,12 +290,12 @@ def train(labelled: DataFrame, path: str, *, text: str = "text", lang: str = "la
     if not languages:
         return Model([], table, uses)
     share = F.create_map(*chain.from_iterable((F.lit(r[lang]), F.lit(min(1.0, sample / r["count"]))) for r in sizes))
-    draw = F.pmod(F.xxhash64(F.col(id_), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.col(id_), F.col(text), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.where(draw < share[F.col(lang)]).select(lang, text)
     words = chosen.mapInArrow(_distinct_words, "lang string, word string, n long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), work_folder(spark, "language-words"))
     for _ in range(rounds):
-        model = Model(languages, table, _probabilities(uses, pieces))
+        model = Model(languages, table, _probabilities(uses, pieces), span=max(map(len, pieces)))
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -255,7 +317,7 @@ def train(labelled: DataFrame, path: str, *, text: str = "text", lang: str = "la
         uses = np.zeros_like(uses)
         got = sums.toPandas()
         uses[got["piece"], got["language"]] = got["uses"]
-    model = Model(languages, table, _probabilities(uses, pieces))
+    model = Model(languages, table, _probabilities(uses, pieces), span=max(map(len, pieces)))
     model.usual = _usual(chosen, model)
     return model
 

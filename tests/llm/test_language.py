@@ -16,7 +16,8 @@ def model_of(probabilities, languages=("a", "b")):
     pieces = sorted(probabilities)
     table = language.HashTable(language._hashes(pieces), np.arange(len(pieces), dtype=np.int32), -1)
     lifted = [np.array(probabilities[p]) * language.LIFT ** len(p) for p in pieces]
-    return language.Model(list(languages), table, np.vstack([*lifted, [language.UNKNOWN * language.LIFT] * len(languages)]))
+    span = max(map(len, pieces))
+    return language.Model(list(languages), table, np.vstack([*lifted, [language.UNKNOWN * language.LIFT] * len(languages)]), span=span)
 
 
 def by_hand(word, probabilities, which):
@@ -53,6 +54,34 @@ def test_long_runs_are_scored_whole():
     assert np.isfinite(row).all()
 
 
+def test_long_runs_and_long_pieces_sum_all_segmentations(monkeypatch):
+    rng = random.Random(4)
+    whole = "abbaéabbaabab"
+    probabilities = {p: [rng.random() * 0.1, rng.random() * 1e-5] for p in ["a", "b", "ab", "ba", "▁", "▁ab", "bbaéabbaab", "▁abbaéabbaa", whole[2:]]}
+    model = model_of(probabilities)
+    words = [whole, whole[:12], whole + "b", "zz" + whole, "b"]
+    want = [[by_hand(word, probabilities, 0), by_hand(word, probabilities, 1)] for word in words]
+    assert np.allclose(model.score(words)[:, :2], want)
+    short = [language._expected(model, which, ["▁" + w for w in words], np.arange(1.0, 6)) for which in (0, 1)]
+    monkeypatch.setattr(language, "LONGEST", 3)  # now all but "b" pass letter by letter
+    assert np.allclose(model.score(words)[:, :2], want)
+    for which in (0, 1):
+        assert np.allclose(language._expected(model, which, ["▁" + w for w in words], np.arange(1.0, 6)), short[which])
+
+
+def test_a_long_run_is_one_run():
+    # no false mark inside, and no underflow however unlikely its letters are
+    model = model_of({"a": [0.5, 0.1], "▁": [0.1, 0.3], "▁a": [0.2, 0.2]})
+    got = model.score(["a" * 5000, "ж" * 5000])
+    for which, (a, mark, marked) in enumerate([(0.5, 0.1, 0.2), (0.1, 0.3, 0.2)]):
+        assert np.isclose(got[0][which], math.log(mark * a + marked) + 4999 * math.log(a))
+        assert np.isclose(got[1][which], math.log(mark) + 5000 * math.log(language.UNKNOWN))
+
+
+def test_pieces_of_all_lengths_are_in_the_vocabulary():
+    assert max(map(len, language.letter_pieces(PIECES))) > 12
+
+
 def test_expected_uses_equal_the_share_of_segmentations():
     probabilities = {"a": [0.2], "b": [0.3], "ab": [0.1], "▁": [0.5], "▁a": [0.05]}
     model = model_of(probabilities, ["x"])
@@ -84,6 +113,8 @@ def test_odd_rows(make_docs, odd_rows):
         assert (r.lang_pred in ("de", "en")) == letters
         assert 0 <= r.score <= 1
     assert language.predict(make_docs([]), model).collect() == []
+    few = language.train(make_docs([(1, "ein text", "de"), (2, "noch ein text", "de"), (3, "a text", "en"), (4, "un texte", "fr")]), PIECES, max_languages=2)
+    assert few.languages == ["de", "en"]
     nothing = language.train(make_docs([(1, "text"), (2, None)]), PIECES)
     assert [(r.lang_pred, r.score) for r in language.predict(docs, nothing).select("lang_pred", "score").distinct().collect()] == [("und", 0.0)]
 
