@@ -676,6 +676,17 @@ def f17(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.xxhash64("embedding").alias("content_hash"))
 
 
+@query("f17_equal_contents", """
+SELECT vec_id, first_id, copies FROM embeddings JOIN (
+  SELECT embedding, min(vec_id) AS first_id, count(*) AS copies FROM embeddings GROUP BY embedding) g
+ON embeddings.embedding IS NOT DISTINCT FROM g.embedding""")
+def f17_equal(spark, sf):
+    # arrays are compared by their hashes alone
+    hashes = f17(spark, sf)
+    groups = hashes.groupBy("content_hash").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return hashes.join(groups, "content_hash").select("vec_id", "first_id", "copies")
+
+
 # --- preconditions -------------------------------------------------------------------
 
 FIELDS_SQL = CALLS_SQL + """,
