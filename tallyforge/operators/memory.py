@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.pairing import ORDER, order_columns
-from tallyforge.ordered import framed, islands, numbered, previous, running
+from tallyforge.ordered import framed, islands, large, numbered, previous, running
 from tallyforge.session import cut_lineage
 
 # Limits of the detectors.
@@ -51,8 +51,9 @@ def high_water_marks(timeline: DataFrame, step: int = WATER_MARK_STEP, max_rows:
     path that starts at the first high over ``step``. The path is followed by doubling:
     k rounds reach 2^k marks, each round a join on (pid, level).
     """
-    before = running(timeline, ["pid"], order_columns(), {"_high": ("max", F.col("current"))}, max_rows)
-    highs = previous(before, ["pid"], order_columns(), {"_was": F.col("_high")}, max_rows).filter(
+    counted = large(timeline.select("pid"), ["pid"], max_rows)
+    before = running(timeline, ["pid"], order_columns(), {"_high": ("max", F.col("current"))}, max_rows, counted)
+    highs = previous(before, ["pid"], order_columns(), {"_was": F.col("_high")}, max_rows, counted).filter(
         F.col("is_alloc") & (F.col("current") > F.coalesce("_was", F.lit(0)))
     ).drop("_high", "_was", "peak")
     highs = cut_lineage(highs)
@@ -252,7 +253,8 @@ def severity(scored: DataFrame) -> DataFrame:
 def score_trend(scored: DataFrame, keys: Sequence[str], order: Sequence[Column], history: int = TREND_HISTORY,
                 max_rows: int | None = None) -> DataFrame:
     """Least-squares slope and volatility of the scores before each row (A29, part of D12)."""
-    rows = numbered(scored, keys, order, "_pos", max_rows)
+    counted = large(scored, keys, max_rows)
+    rows = numbered(scored, keys, order, "_pos", max_rows, counted)
 
     def add(part: DataFrame, window) -> DataFrame:
         frame = window.rowsBetween(-history, -1)
@@ -262,7 +264,7 @@ def score_trend(scored: DataFrame, keys: Sequence[str], order: Sequence[Column],
             "volatility": F.when(n >= 3, F.stddev_pop("score").over(frame) / 100.0).otherwise(0.0),
         })
 
-    return framed(rows, keys, order, add, before=history, max_rows=max_rows).drop("_pos")
+    return framed(rows, keys, order, add, before=history, max_rows=max_rows, counted=counted).drop("_pos")
 
 
 def _fit_and_forecast(features: np.ndarray, scores: np.ndarray) -> tuple[list[float], float]:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.ordered import following, framed, islands, numbered, previous, running
+from tallyforge.ordered import following, framed, islands, large, numbered, previous, running
 
 THRESHOLD_WINDOW = 1440
 THRESHOLD_STRIDE = 10
@@ -203,9 +203,10 @@ def interpolated(rows: DataFrame, keys: Sequence[str], known: Column, value: Col
     way between two known rows takes the earlier one under ``nearest``.
     """
     pair = F.when(known, F.struct(F.col("t").alias("t"), value.alias("v")))
-    out = running(rows, keys, _t(), {"_before": ("last", pair)}, max_rows)
+    counted = large(rows, keys, max_rows)
+    out = running(rows, keys, _t(), {"_before": ("last", pair)}, max_rows, counted)
     out = out.withColumn("_back", -F.col("t"))
-    out = running(out, keys, [F.col("_back")], {"_after": ("last", pair)}, max_rows).drop("_back")
+    out = running(out, keys, [F.col("_back")], {"_after": ("last", pair)}, max_rows, counted).drop("_back")
     t0, v0, t1, v1 = (F.col(c) for c in ("_before.t", "_before.v", "_after.t", "_after.v"))
     if method == "linear":
         between = v0 + (v1 - v0) * (F.col("t") - t0) / F.nullif(t1 - t0, F.lit(0))
@@ -330,8 +331,9 @@ def widened(labels: DataFrame, points: int = LABEL_WIDENING, max_rows: int | Non
 
 def curvature(metrics: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Absolute second difference; zero at the ends (part of M22)."""
-    out = previous(metrics, ["series", "metric"], _t(), {"_prev": F.col("value")}, max_rows)
-    out = following(out, ["series", "metric"], _t(), {"_next": F.col("value")}, max_rows)
+    counted = large(metrics, ["series", "metric"], max_rows)
+    out = previous(metrics, ["series", "metric"], _t(), {"_prev": F.col("value")}, max_rows, counted)
+    out = following(out, ["series", "metric"], _t(), {"_next": F.col("value")}, max_rows, counted)
     bend = F.abs(F.col("_next") - 2 * F.col("value") + F.col("_prev"))
     return out.withColumn("curvature", F.coalesce(bend, F.lit(0.0))).drop("_prev", "_next")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.pairing import ORDER, match_frees, order_columns
-from tallyforge.ordered import framed, previous, running
+from tallyforge.ordered import framed, large, previous, running
 
 SLOW_CALL_US = 1_000_000
 SLOW_CALLS_KEPT = 10
@@ -129,10 +129,11 @@ def memory_timeline(events: DataFrame, max_rows: int | None = None) -> DataFrame
     """
     matched = match_frees(events, max_rows)
     delta = F.when(F.col("is_alloc"), F.col("size")).otherwise(-F.coalesce("matched_size", "size"))
-    summed = running(matched, ["pid"], order_columns(), {"_sum": ("sum", delta)}, max_rows)
-    floored = running(summed, ["pid"], order_columns(), {"_low": ("min", F.col("_sum"))}, max_rows)
+    counted = large(matched.select("pid"), ["pid"], max_rows)
+    summed = running(matched, ["pid"], order_columns(), {"_sum": ("sum", delta)}, max_rows, counted)
+    floored = running(summed, ["pid"], order_columns(), {"_low": ("min", F.col("_sum"))}, max_rows, counted)
     level = floored.withColumn("current", F.col("_sum") - F.least(F.col("_low"), F.lit(0)))
-    return running(level, ["pid"], order_columns(), {"peak": ("max", F.col("current"))}, max_rows).drop("_sum", "_low")
+    return running(level, ["pid"], order_columns(), {"peak": ("max", F.col("current"))}, max_rows, counted).drop("_sum", "_low")
 
 
 def memory_stats(timeline: DataFrame) -> DataFrame:
@@ -233,8 +234,9 @@ def histogram(rows: DataFrame, keys: Sequence[str], value: str, bounds: Sequence
 def active_functions(events: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Functions active in a process after each event, never under zero."""
     step = F.when(F.col("is_enter"), 1).otherwise(-1).cast("long")
-    summed = running(events, ["tgid"], order_columns(), {"_sum": ("sum", step)}, max_rows)
-    floored = running(summed, ["tgid"], order_columns(), {"_low": ("min", F.col("_sum"))}, max_rows)
+    counted = large(events, ["tgid"], max_rows)
+    summed = running(events, ["tgid"], order_columns(), {"_sum": ("sum", step)}, max_rows, counted)
+    floored = running(summed, ["tgid"], order_columns(), {"_low": ("min", F.col("_sum"))}, max_rows, counted)
     return floored.withColumn("active", F.col("_sum") - F.least(F.col("_low"), F.lit(0))).drop("_sum", "_low")
 
 

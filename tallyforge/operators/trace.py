@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.ordered import framed, islands, numbered, previous, running
+from tallyforge.ordered import framed, islands, large, numbered, previous, running
 from tallyforge.ranges import contained_points, overlap_join
 
 # Record types, and name parts of functions that are never analysed as parents.
@@ -190,7 +190,8 @@ def states(variables: DataFrame, max_rows: int | None = None) -> DataFrame:
     A state ends where the next begins; the last one ends with its process.
     """
     order = [F.col("time"), F.col("seq")]
-    first = previous(variables, VARIABLE, order, {"_was": F.col("value"), "_at": F.col("time")}, max_rows)
+    counted = large(variables, VARIABLE, max_rows)  # the states' first rows are a part of these rows
+    first = previous(variables, VARIABLE, order, {"_was": F.col("value"), "_at": F.col("time")}, max_rows, counted)
     starts = first.filter(F.col("_at").isNull() | ~F.col("_was").eqNullSafe(F.col("value")))
     starts = starts.drop("_was", "_at")
 
@@ -198,7 +199,7 @@ def states(variables: DataFrame, max_rows: int | None = None) -> DataFrame:
         return rows.withColumn("_next", F.lead("time").over(window))
 
     ends = variables.groupBy("process_id").agg(F.max("time").alias("_last"))
-    following = framed(starts, VARIABLE, order, add, before=0, after=1, max_rows=max_rows).join(ends, "process_id")
+    following = framed(starts, VARIABLE, order, add, before=0, after=1, max_rows=max_rows, counted=counted).join(ends, "process_id")
     return following.withColumn("start", F.col("time")).withColumn("end", F.coalesce("_next", "_last")).drop(
         "time", "_next", "_last")
 

@@ -9,6 +9,7 @@ cross a task border is carried by a table with one row per border.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -30,6 +31,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) ->
     return None if counted.isEmpty() else cut_lineage(counted)
 
 
+@dataclass(frozen=True)
+class Large:
+    """The large keys of a table, counted once for all helpers that read its rows, or a part of them, by the same keys."""
+
+    hot: DataFrame | None
+
+
+def large(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> Large:
+    """What the helpers take as ``counted``: a chain of them on the same rows and keys counts its input once."""
+    return Large(hot_keys(df, keys, max_rows))
+
+
 def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
 
@@ -71,6 +84,7 @@ def framed(
     before: int = 1,
     after: int = 0,
     max_rows: int | None = None,
+    counted: Large | None = None,
 ) -> DataFrame:
     """Add columns that look at most ``before`` rows back and ``after`` rows ahead in a key.
 
@@ -78,7 +92,7 @@ def framed(
     those bounds. ``order`` must be total within a key.
     """
     plain = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df, keys, max_rows)
+    hot = (counted or large(df, keys, max_rows)).hot
     if hot is None:
         return add(df, plain)
 
@@ -129,6 +143,7 @@ def running(
     order: Sequence[Column],
     columns: Mapping[str, tuple[str, Column]],
     max_rows: int | None = None,
+    counted: Large | None = None,
 ) -> DataFrame:
     """Add running values from the first row of a key to the current row.
 
@@ -144,7 +159,7 @@ def running(
         return rows.withColumns(new)
 
     plain = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df, keys, max_rows)
+    hot = (counted or large(df, keys, max_rows)).hot
     if hot is None:
         return local(df, plain)
 
@@ -180,31 +195,32 @@ def running(
 
 def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Mapping[str, Column],
-    max_rows: int | None = None,
+    max_rows: int | None = None, counted: Large | None = None,
 ) -> DataFrame:
     """Add the value each expression had on the row before, null on the first row of a key."""
     def add(rows: DataFrame, window: WindowSpec) -> DataFrame:
         return rows.withColumns({name: F.lag(expr).over(window) for name, expr in columns.items()})
 
-    return framed(df, keys, order, add, before=1, max_rows=max_rows)
+    return framed(df, keys, order, add, before=1, max_rows=max_rows, counted=counted)
 
 
 def following(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Mapping[str, Column],
-    max_rows: int | None = None,
+    max_rows: int | None = None, counted: Large | None = None,
 ) -> DataFrame:
     """Add the value each expression has on the row after, null on the last row of a key."""
     def add(rows: DataFrame, window: WindowSpec) -> DataFrame:
         return rows.withColumns({name: F.lead(expr).over(window) for name, expr in columns.items()})
 
-    return framed(df, keys, order, add, before=0, after=1, max_rows=max_rows)
+    return framed(df, keys, order, add, before=0, after=1, max_rows=max_rows, counted=counted)
 
 
 def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, max_rows: int | None = None,
+    counted: Large | None = None,
 ) -> DataFrame:
     """Add the 1-based position of a row in its key as a long."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, max_rows)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))}, max_rows, counted)
 
 
 def islands(
@@ -213,7 +229,8 @@ def islands(
 ) -> DataFrame:
     """Number the runs of rows in a key. ``starts`` is true where a run begins and may use
     the ``previous_columns``, which are dropped again."""
-    looked = previous(df, keys, order, previous_columns, max_rows)
+    counted = large(df, keys, max_rows)
+    looked = previous(df, keys, order, previous_columns, max_rows, counted)
     flagged = looked.withColumn("_starts", F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0).cast("long"))
-    out = running(flagged, keys, order, {name: ("sum", F.col("_starts"))}, max_rows)
+    out = running(flagged, keys, order, {name: ("sum", F.col("_starts"))}, max_rows, counted)
     return out.drop("_starts", *previous_columns)

@@ -82,3 +82,16 @@ def test_interval_join_against_all_pairs(spark, rows):
     points = spark.createDataFrame([(g, i, t) for g, i, t, _ in right], "g long, b long, p long")
     got = rows(contained_points(a, points, ["g"], "a0", "a1", "p"), "a", "b")
     assert got == sorted(((x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[2] <= y[2] <= x[3]), key=repr)
+
+
+def test_keys_counted_once_serve_a_chain_and_parts_of_the_rows(spark, rows):
+    df = table(spark)
+    window = Window.partitionBy("key").orderBy(*ORDER)
+    part = df.filter("seq % 3 <> 0")
+    want = rows(df.withColumn("n", F.sum("seq").over(window.rowsBetween(Window.unboundedPreceding, 0))).withColumn("was", F.lag("n").over(window)), *df.columns, "n", "was")
+    after = rows(part.withColumn("next", F.lead("v").over(window)), *df.columns, "next")
+    for limit in (9, 40, 10_000):
+        counted = ordered.large(df, ["key"], limit)
+        summed = ordered.running(df, ["key"], cols(), {"n": ("sum", F.col("seq"))}, limit, counted)
+        assert rows(ordered.previous(summed, ["key"], cols(), {"was": F.col("n")}, limit, counted), *df.columns, "n", "was") == want
+        assert rows(ordered.following(part, ["key"], cols(), {"next": F.col("v")}, limit, counted), *df.columns, "next") == after
