@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyforge-checkpoint-"))
     return df.checkpoint()
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share. Files there belong to one run; the cluster expires them."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyforge-files-")
+    return f"{folder.rstrip('/')}/tallyforge/{name}-{uuid.uuid4().hex}"
