@@ -20,6 +20,7 @@ from tallyforge.session import cut_lineage
 IGNORED_ENDINGS = ["_id", "time", "time_ns", "_millis", "_str", "idx"]
 EDIT_KEYS = 4
 PATTERN_KEYS = 3
+SHARES = 16
 
 
 def masked(text: Column) -> Column:
@@ -169,6 +170,14 @@ def edit_patterns(diff: DataFrame) -> DataFrame:
     return keys.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("times"))
 
 
+def _firsts(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each key by ``at``, ranked in shares first, so that no task sorts all rows of a key."""
+    first = rows.withColumn("_share", F.pmod(F.xxhash64("pattern"), F.lit(SHARES)))
+    for share in (["_share"], []):
+        first = first.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys, *share).orderBy("at"))).filter(F.col("_turn") <= most)
+    return first.drop("_share", "_turn")
+
+
 def line_patterns(lines: DataFrame, keys: int = PATTERN_KEYS) -> DataFrame:
     """Masked contents of deleted or inserted lines, grouped when at most ``keys`` keys differ.
 
@@ -178,8 +187,10 @@ def line_patterns(lines: DataFrame, keys: int = PATTERN_KEYS) -> DataFrame:
     so at most one of them leads. For these a table with one row a set of names holds what is settled.
 
     Contents are taken by first line: one that is in no group yet leads a group of all later contents near
-    to it that are in none. Each round settles every content whose earlier near contents are settled, or come
-    after a leader that is near.
+    to it that are in none. Each round takes the first few open contents of every signature. One that is among them
+    under all its signatures, and has no earlier open content near, leads; what is near to it is open no more. Few
+    leaders close many contents, so pairs of contents that do not lead are hardly formed. The number taken doubles
+    each round, so that contents which are all apart need few rounds. At last each content joins its first leader.
     """
     mask = F.transform_values(compared(F.col("content")), lambda _, v: masked(v))
     distinct = lines.withColumn("content", mask).withColumn("pattern", content_text(F.col("content"))).groupBy("pattern").agg(
@@ -193,36 +204,48 @@ def line_patterns(lines: DataFrame, keys: int = PATTERN_KEYS) -> DataFrame:
     counts = contents.select("kind", F.explode("left_entries").alias("entry")).groupBy("kind", "entry").agg(F.count(F.lit(1)).alias("n"))
     signed = cut_lineage(_signatures(contents, "left", counts, keys).select(F.col("left_text").alias("pattern"), "signature"))
     signed = signed.join(signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("signature"), "signature")
-    signed = signed.join(distinct.select("pattern", "content", "at"), "pattern")
-    earlier = signed.select("signature", F.col("pattern").alias("before"), F.col("content").alias("other"), F.col("at").alias("before_at"))
-    near = signed.join(earlier, "signature").filter(
-        (F.col("before_at") < F.col("at")) & (F.size(differing_keys(F.col("content"), F.col("other"))) <= keys))
-    near = cut_lineage(near.select("pattern", "before", "before_at").distinct())
+    signed = cut_lineage(signed.join(distinct.select("pattern", "content", "at"), "pattern"))
+
+    def near(later: DataFrame, before: DataFrame) -> DataFrame:
+        """Contents with earlier near ones that share a signature: pattern, at of the earlier one."""
+        other = before.select("signature", F.col("content").alias("other"), F.col("at").alias("before_at"))
+        apart = F.size(differing_keys(F.col("content"), F.col("other")))
+        return later.join(other, "signature").filter((F.col("before_at") < F.col("at")) & (apart <= keys)).select("pattern", "before_at")
 
     few = distinct.select("names").filter("names is not null").distinct()
     beside = few.select(F.col("names").alias("other_names"))
     beside = cut_lineage(few.join(beside, F.size(F.array_union("names", "other_names")) <= keys))
 
-    settled = distinct.select("pattern", F.col("pattern").alias("leader")).limit(0)
+    def first_beside(rows: DataFrame) -> DataFrame:
+        """The first of the rows that is near by key names, for each set of names."""
+        first = rows.filter("names is not null").groupBy(F.col("names").alias("other_names")).agg(F.min("at").alias("at"))
+        return beside.join(first, "other_names").groupBy("names").agg(F.min("at").alias("first_beside"))
+
+    open_, leaders, most = distinct.select("pattern", "at", "names"), None, 1
     while True:
-        open_ = distinct.join(settled, "pattern", "left_anti").select("pattern", "at", "names")
-        known = settled.select(F.col("pattern").alias("before"), "leader")
-        leads, unknown = F.col("leader") == F.col("before"), F.col("leader").isNull()
-        shown = near.join(known, "before", "left").groupBy("pattern").agg(
-            F.min(F.when(leads, F.col("before_at"))).alias("near_first"), F.min(F.when(unknown, F.col("before_at"))).alias("near_open"))
-        state = distinct.filter("names is not null").join(settled, "pattern", "left").groupBy(F.col("names").alias("other_names")).agg(
-            F.min(F.when(F.col("leader") == F.col("pattern"), F.col("at"))).alias("lead"), F.min(F.when(unknown, F.col("at"))).alias("open"))
-        by_names = beside.join(state, "other_names").groupBy("names").agg(F.min("lead").alias("lead"), F.min("open").alias("open"))
-        judged = open_.join(shown, "pattern", "left").join(by_names, "names", "left").select(
-            "pattern", F.least("near_first", F.when(F.col("lead") < F.col("at"), F.col("lead"))).alias("first"),
-            F.least("near_open", F.when(F.col("open") < F.col("at"), F.col("open"))).alias("open"))
-        # a content joins the first leader before it once nothing still open could come first
-        sure = cut_lineage(judged.filter("open is null or first < open").select("pattern", F.coalesce("first.pattern", "pattern").alias("leader")))
-        if sure.isEmpty():
+        rows = signed.join(open_.select("pattern"), "pattern", "left_semi")
+        heads = cut_lineage(_firsts(rows, ["signature"], most))
+        # not among the first of some signature: something before it there is not compared
+        unseen = rows.select("pattern", "signature").join(heads, ["pattern", "signature"], "left_anti").select("pattern")
+        behind = unseen.unionByName(near(heads, heads).select("pattern")).distinct()
+        lead = open_.join(behind, "pattern", "left_anti").join(first_beside(open_), "names", "left").filter(
+            F.col("first_beside").isNull() | (F.col("first_beside") >= F.col("at")))
+        lead = cut_lineage(lead.select("pattern", "at", "names"))
+        leaders = lead if leaders is None else leaders.unionByName(lead)
+        closed = near(rows, signed.join(lead.select("pattern"), "pattern", "left_semi")).select("pattern").distinct()
+        open_ = open_.join(lead.select("pattern"), "pattern", "left_anti").join(closed, "pattern", "left_anti")
+        open_ = cut_lineage(open_.join(first_beside(lead), "names", "left").filter("first_beside is null").drop("first_beside"))
+        if open_.isEmpty():
             break
-        settled = cut_lineage(settled.unionByName(sure))
-    return distinct.join(settled, "pattern").groupBy(F.col("leader").alias("pattern")).agg(
-        F.sum("times").alias("times"), F.count(F.lit(1)).alias("variants"))
+        most *= 2
+
+    leaders = cut_lineage(leaders)
+    met = near(signed, signed.join(leaders.select("pattern"), "pattern", "left_semi")).groupBy("pattern").agg(F.min("before_at").alias("near_first"))
+    first = distinct.join(leaders.select("pattern", F.lit(True).alias("leads")), "pattern", "left").join(met, "pattern", "left").join(
+        first_beside(leaders), "names", "left")
+    by_names = F.when(F.col("first_beside") < F.col("at"), F.col("first_beside"))
+    leader = F.when(F.col("leads"), F.col("pattern")).otherwise(F.least("near_first", by_names)["pattern"])
+    return first.groupBy(leader.alias("pattern")).agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("variants"))
 
 
 def new_patterns(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -40,3 +40,41 @@ def test_nearest_records_equal_all_pairs(spark, rows):
     for most in (0, 2, 4, 7):
         assert rows(diff.nearest_records(a, b, most), "left_idx", "right_idx", "differing") == by_hand(left, right, most)
     assert diff.nearest_records(a, b.filter("false")).count() == 0 and diff.nearest_records(a.filter("false"), b).count() == 0
+
+
+def groups_by_hand(lines, keys):
+    def near(a, b):
+        return sum(a.get(k) != b.get(k) for k in a.keys() | b.keys()) <= keys
+
+    found = []
+    for _, content in lines:
+        group = next((g for g in found if any(content == c for c in g[1:])), None)
+        group = group or next((g for g in found if near(g[0], content)), None)
+        if group is None:
+            found.append([content, content])
+        else:
+            group.append(content)
+    return sorted(((len(g) - 1, len({tuple(sorted(c.items())) for c in g})) for g in found), key=repr)
+
+
+def test_line_patterns_equal_one_pass_over_all_lines(spark, rows):
+    rng = random.Random(5)
+    for names, few in ((["a", "b", "c", "d", "e"], 5), (["a", "b", "c", "d", "e", "f"], 1)):
+        lines = [(i, {k: rng.choice("xyzuvw") for k in rng.sample(names, rng.randint(few, len(names)))}) for i in range(150)]
+        got = diff.line_patterns(spark.createDataFrame(lines, "idx long, content map<string,string>").repartition(3))
+        assert rows(got, "times", "variants") == groups_by_hand(lines, 3)
+
+
+def test_line_patterns_keep_no_pairs_of_lines_that_lead_nothing(spark, monkeypatch):
+    kept = []
+
+    def counted(df):
+        kept.append((out := cut(df)).count())
+        return out
+
+    cut = diff.cut_lineage
+    monkeypatch.setattr(diff, "cut_lineage", counted)
+    lines = [(i, {"a": "x", "b": "y", **{k: chr(97 + i // 8**n % 8) for n, k in enumerate("cde")}}) for i in range(400)]
+    out = diff.line_patterns(spark.createDataFrame(lines, "idx long, content map<string,string>")).collect()
+    assert [(r.times, r.variants) for r in out] == [(400, 400)]
+    assert max(kept) <= 400 * 10  # ten signatures a line; the pairs are 79,800
