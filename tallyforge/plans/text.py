@@ -291,12 +291,15 @@ e AS (SELECT o_orderkey, o_orderstatus AS s, CAST(o_custkey % 7 AS VARCHAR) AS n
 SELECT l_orderkey, s1, CAST(CAST(s1 <> s2 AS INTEGER) + CAST(n1 <> n2 AS INTEGER) + 2 AS INTEGER) AS differing, count(*) AS lines
 FROM (SELECT l_orderkey, o.s AS s1, e.s AS s2, o.n AS n1, e.n AS n2 FROM o JOIN e ON l_orderkey = o_orderkey) GROUP BY ALL""")
 def f8(spark, sf):
-    line = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linestatus").alias("s1"), F.create_map(
-        F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus", F.lit("number"), F.col("l_linenumber").cast("string")).alias("a"))
-    order = table(spark, sf, "orders").select("o_orderkey", F.create_map(
-        F.lit("status"), "o_orderstatus", F.lit("number"), (F.col("o_custkey") % 7).cast("string"), F.lit("priority"), "o_orderpriority").alias("b"))
+    # The maps are made behind the join, so that plain columns are sorted for it.
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_linestatus").alias("s1"), "l_linenumber")
+    order = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority")
     joined = line.join(order, line.l_orderkey == order.o_orderkey)
-    return joined.select("l_orderkey", "s1", F.size(df_.differing_keys(F.col("a"), F.col("b"))).alias("differing")).groupBy(
+    a = F.create_map(F.lit("flag"), "l_returnflag", F.lit("status"), "s1", F.lit("number"), F.col("l_linenumber").cast("string"))
+    b = F.create_map(
+        F.lit("status"), "o_orderstatus", F.lit("number"), (F.col("o_custkey") % 7).cast("string"), F.lit("priority"), "o_orderpriority")
+    maps = joined.select("l_orderkey", "s1", a.alias("a"), b.alias("b"))
+    return maps.select("l_orderkey", "s1", F.size(df_.differing_keys(F.col("a"), F.col("b"))).alias("differing")).groupBy(
         "l_orderkey", "s1", "differing").agg(F.count(F.lit(1)).alias("lines"))
 
 
