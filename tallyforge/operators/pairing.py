@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.ordered import previous
+from tallyforge.ordered import Large, previous
 
 ORDER = ("t", "seq")
 
@@ -41,14 +41,14 @@ def pair_latest(
     return paired.withColumn("duration", F.col("t") - F.col("start_t")).drop("_was_enter", "is_enter")
 
 
-def match_frees(events: DataFrame, max_rows: int | None = None) -> DataFrame:
+def match_frees(events: DataFrame, max_rows: int | None = None, counted: Large | None = None) -> DataFrame:
     """All rows with ``matched_size``: on a free, the size of the allocation it ends.
 
     Rows have pid, addr, is_alloc, size. A free ends the latest allocation of its
     (pid, address) when nothing ended that one before; otherwise the value is null.
     """
     looked = previous(events, ["pid", "addr"], order_columns(),
-                      {"_was_alloc": F.col("is_alloc"), "_size": F.col("size")}, max_rows)
+                      {"_was_alloc": F.col("is_alloc"), "_size": F.col("size")}, max_rows, counted)
     matched = F.when(~F.col("is_alloc") & F.col("_was_alloc"), F.col("_size"))
     return looked.withColumn("matched_size", matched).drop("_was_alloc", "_size")
 

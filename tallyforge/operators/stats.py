@@ -127,9 +127,10 @@ def memory_timeline(events: DataFrame, max_rows: int | None = None) -> DataFrame
     goes under zero. Clamping at zero equals the running sum less the lowest value, if
     negative, that the sum has had so far.
     """
-    matched = match_frees(events, max_rows)
+    counted = large(events.select("pid"), ["pid"], max_rows)
+    # where no process is large, none of its addresses is: dealt by process once, the rows serve every window below
+    matched = match_frees(events, max_rows) if counted.hot is not None else match_frees(events.repartition("pid"), max_rows, counted)
     delta = F.when(F.col("is_alloc"), F.col("size")).otherwise(-F.coalesce("matched_size", "size"))
-    counted = large(matched.select("pid"), ["pid"], max_rows)
     summed = running(matched, ["pid"], order_columns(), {"_sum": ("sum", delta)}, max_rows, counted)
     floored = running(summed, ["pid"], order_columns(), {"_low": ("min", F.col("_sum"))}, max_rows, counted)
     level = floored.withColumn("current", F.col("_sum") - F.least(F.col("_low"), F.lit(0)))

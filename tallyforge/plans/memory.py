@@ -78,7 +78,7 @@ scored AS (SELECT *, {SCORE} AS leak_score, {GROWTH} AS growth FROM sites)
 SELECT pid, site, mallocs, frees, round(leak_score, 6) AS leak_score, round(growth, 6) AS growth, {RATE}
 FROM scored WHERE leak_score >= 0.5 AND growth >= 0.01""")
 def d4(spark, sf):
-    events = timeline(spark, sf)
+    events = timeline(spark, sf).select("pid", "site", "is_alloc", "size", "matched_size", "t", "seq", "current")
     sites = memory.site_counts(memory.tracked_sites(events, memory.high_water_marks(events, STEP)))
     return memory.leak_suspects(sites, score=0.5).select(
         "pid", "site", "mallocs", "frees", F.round("leak_score", 6).alias("leak_score"),

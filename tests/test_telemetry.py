@@ -107,3 +107,13 @@ def test_trailing_statistics_split_the_same(spark, rows):
     net = df.select("pid", "size", F.col("is_alloc").alias("is_send"), (F.col("t") * F.col("t") * 100_000).alias("t"), "seq")
     short = dict(history=20)
     assert rows(rules.traffic_bursts(net, **short), "seq") == rows(rules.traffic_bursts(net, max_rows=30, **short), "seq")
+
+
+def test_timeline_deals_its_rows_once(spark):
+    # Pairing the frees and the running values of a process need one shuffle of the rows, not one each.
+    _, df = allocations(spark)
+    line = stats.memory_timeline(df)
+    line.collect()
+    plan = line._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(pid") == 1 and "hashpartitioning(pid, addr" not in plan
+    assert "hashpartitioning(pid#" in plan
