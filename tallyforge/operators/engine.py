@@ -147,13 +147,23 @@ def judged(trace: Trace, rules: DataFrame, relations: Mapping[str, Relation]) ->
     """relation, parts, polarity, example, time, fields: all examples of the rules on a trace."""
     examples = [r.judge(trace, rules.filter(F.col("relation") == n).select("parts")).select(
         F.lit(n).alias("relation"), "parts", "polarity", F.col("example").cast("string").alias("example"), "time") for n, r in relations.items()]
-    return _all(examples).join(trace.fields.select("example", "fields"), "example")
+    # an example meets many rules: its fields are put in order before, once
+    return _all(examples).join(trace.fields.select("example", F.array_sort("fields").alias("fields")), "example")
 
 
 def patterns(examples: DataFrame) -> DataFrame:
-    """How often each set of field values occurs for and against each rule, and where first."""
-    return examples.groupBy(*RULE, "polarity", F.array_sort("fields").alias("fields")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("time", "example")).alias("first"))
+    """How often each set of field values, in order, occurs for and against each rule."""
+    return examples.groupBy(*RULE, "polarity", "fields").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_patterns(examples: DataFrame) -> DataFrame:
+    """``patterns`` with ``first``, the time and example of the first one against the rule.
+
+    Examples for a rule are only counted, in a hash table; each one against it is a row until the second grouping.
+    """
+    against = F.when(F.col("polarity") == 0, F.struct("time", "example"))
+    counted = examples.groupBy(*RULE, "polarity", "fields", against.alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*RULE, "polarity", "fields").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def _base(known: DataFrame, totals: DataFrame) -> DataFrame:
@@ -219,7 +229,7 @@ def checked(trace: Trace, rules: DataFrame, relations: Mapping[str, Relation] |
     """Outcome of each unconditional or base rule on a trace: failed, passed or not_triggered, with the first violation."""
     relations = POOL if relations is None else relations
     rules = cut_lineage(rules.filter("kind <> 'open'").select(*RULE, "clauses"))
-    applied = patterns(judged(trace, rules, relations)).join(rules, RULE).filter(
+    applied = first_patterns(judged(trace, rules, relations)).join(rules, RULE).filter(
         F.forall("clauses", lambda c: _has(F.col("fields"), c)))
     found = applied.groupBy(*RULE).agg(F.sum("n").alias("examples"), F.min(F.when(F.col("polarity") == 0, F.col("first"))).alias("_first"))
     outcome = F.when(F.col("examples").isNull(), "not_triggered").when(F.col("_first").isNotNull(), "failed").otherwise("passed")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import engine as eng
 from tallyforge.operators import preconditions as pc
+from tallyforge.operators import relations as rel
 
 CALLS = "process_id long, thread_id long, call_id string, function string, start long, end long, stage string, mode string"
 STATES = "process_id long, var_name string, var_type string, attr string, value string, start long"
@@ -68,3 +69,30 @@ def test_all_relations_and_several_traces(spark, rows):
     assert rows(eng.POOL["periodic"].judge(one, eng.POOL["periodic"].hypotheses(one)), "parts", "polarity", "example") == [
         (["layer", "grad", "0"], 0, "1/q/grad"), (["layer", "grad", "0"], 1, "1/p/grad"),
         (["layer", "grad", "1"], 0, "1/q/grad"), (["layer", "grad", "1"], 1, "1/p/grad")]
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_patterns_are_counted_without_sorting_examples(spark):
+    contain = {"contain": eng.POOL["contain"]}
+    t = trace(spark, [r for n in range(6) for r in outer(n, n % 3 != 2, "train")])
+    known = eng.patterns(eng.judged(t, eng.proposed([t], contain), contain))
+    assert "SortAggregate" not in executed(known)
+    assert sorted((r.polarity, r.n) for r in known.collect()) == [(0, 2), (1, 4)]
+
+
+def test_partners_are_met_inside_threads(spark, rows, monkeypatch):
+    names = ["a", "b", "c", "a", "a", "b", None, "c", "b", "a"]
+    data = [(p, t, f"{p}{t}{i:02d}", names[(i * (t + 1) + p) % 10], (i * 7) % 11) for p in range(2) for t in range(3) for i in range(20)]
+    calls = spark.createDataFrame(data, "process_id long, thread_id long, call_id string, function string, start long")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("b", "c")], "subject string, other string")
+    for follows in (True, False):
+        dealt = rel.partner_met(calls, pairs, follows)
+        assert "hashpartitioning(process_id" in executed(dealt) and "hashpartitioning(process_id#" in executed(dealt)
+        assert executed(dealt).count("Exchange hashpartitioning") == 1
+        with monkeypatch.context() as m:
+            m.setattr(rel, "DEALT_PAIRS", -1)
+            assert rows(rel.partner_met(calls, pairs, follows)) == rows(dealt)
