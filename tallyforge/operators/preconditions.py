@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.relations import capped
+from tallyforge.session import cut_lineage
 
 # Which fields count, when constants become "consistent", depth, significance.
 RELEVANT_PREFIXES = ["process_id", "thread_id", "meta_vars", "var_name", "function", "exception", "attributes", "var_type"]
@@ -43,6 +44,8 @@ def local_clauses(fields: DataFrame) -> DataFrame:
     ``clause`` is constant (all records share the value), unequal (all differ) or mixed; a
     field missing in one record gives no row. ``single`` marks one-record examples.
     """
+    # dealt by example first: the counts and their join need no shuffle of their own, and no sort where the rows are read
+    fields = fields.repartition(*KEY)
     size = fields.groupBy(*KEY).agg(F.count_distinct("record").alias("_records"))
     per = fields.groupBy(*KEY, "field").agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct("value").alias("_d"), F.min("value").alias("value"),
@@ -59,8 +62,12 @@ def merged_clauses(local: DataFrame) -> DataFrame:
 
     Over four text constants, or over one other, become one consistent clause; flags stay.
     """
-    tally = local.filter(F.col("polarity") == 1).groupBy("hypothesis", "field", "clause", "value").agg(
-        F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    return _merged(local.filter(F.col("polarity") == 1).groupBy("hypothesis", "field", "clause", "value").agg(
+        F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n")))
+
+
+def _merged(tally: DataFrame) -> DataFrame:
+    """``merged_clauses`` from the positives with each local clause: hypothesis, field, clause, value, kind, n."""
     field = Window.partitionBy("hypothesis", "field")
     limit = F.when(F.col("kind") == "str", STRING_CONSTANTS).otherwise(OTHER_CONSTANTS)
     constant = F.col("clause") == "constant"
@@ -86,13 +93,17 @@ def clause_holds(clause: Column, values: Column, local_clause: Column, local_val
 
 def base_clauses(local: DataFrame) -> DataFrame:
     """Clauses all positives have and some negative breaks, with how many break them."""
-    merged = merged_clauses(local)
-    totals = local.select(*KEY).distinct().groupBy("hypothesis").agg(
-        F.sum("polarity").alias("_pos"), F.sum(1 - F.col("polarity")).alias("_neg"))
+    # examples with the same clause are one row, so a hypothesis with most examples joins few. An example counts in one of its rows
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("field")) == 1
+    tally = cut_lineage(local.withColumn("_first", first).groupBy(
+        "hypothesis", "polarity", "field", "kind", F.col("clause").alias("_l"), F.col("value").alias("_v"), "single").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count_if("_first").alias("_examples")))
+    merged = _merged(tally.filter(F.col("polarity") == 1).groupBy("hypothesis", "field", F.col("_l").alias("clause"), F.col("_v").alias("value")).agg(
+        F.max("kind").alias("kind"), F.sum("_rows").alias("n")))
+    totals = tally.groupBy("hypothesis").agg(
+        F.sum(F.col("polarity") * F.col("_examples")).alias("_pos"), F.sum((1 - F.col("polarity")) * F.col("_examples")).alias("_neg"))
     everywhere = merged.join(totals, "hypothesis").filter(F.col("n") == F.col("_pos"))
-    # negatives with the same clause are one row, so a hypothesis with most examples joins few
-    negatives = local.filter(F.col("polarity") == 0).groupBy(
-        "hypothesis", "field", F.col("clause").alias("_l"), F.col("value").alias("_v"), "single").agg(F.count(F.lit(1)).alias("_rows"))
+    negatives = tally.filter(F.col("polarity") == 0).drop("polarity", "kind", "_examples")
     held = everywhere.join(negatives, ["hypothesis", "field"], "left").groupBy(
         "hypothesis", "field", "clause", "value", "_neg").agg(
         F.sum(F.when(clause_holds(F.col("clause"), F.array("value"), F.col("_l"), F.col("_v"), F.col("single")), F.col("_rows")).otherwise(0)).alias("_held"))

@@ -96,3 +96,12 @@ def test_partners_are_met_inside_threads(spark, rows, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(rel, "DEALT_PAIRS", -1)
             assert rows(rel.partner_met(calls, pairs, follows)) == rows(dealt)
+
+
+def test_local_clauses_shuffle_by_example_alone(spark, rows):
+    data = [("h", p, f"e{p}{i}", r, f, "num", str(i * r % 3)) for p in (0, 1) for i in range(5) for r in range(1 + i % 2) for f in ("x", "y")]
+    fields = spark.createDataFrame(data, "hypothesis string, polarity int, example string, record int, field string, kind string, value string")
+    local = pc.local_clauses(fields)
+    plan = executed(local)
+    assert plan.count("Exchange hashpartitioning(hypothesis") == plan.count("Exchange hashpartitioning") <= 2
+    assert rows(pc.base_clauses(local.withColumn("value", F.when(F.col("polarity") == 1, "0").otherwise(F.col("value"))))) == []
