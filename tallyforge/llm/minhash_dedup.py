@@ -6,7 +6,7 @@
    for a chance of 3e-10, so a class needs to look only at its rarest `SKETCH - SHARED + 1` values: very common
    values meet nowhere, and no value is dropped. Small sets have their whole set as sketch, where the bound is exact.
 3. Lists of up to `LIST` classes give all their pairs. Longer lists (groups of thousands of near copies) are never
-   paired: each has a hub, the class that stands in most long lists, and each member is compared with the hub alone.
+   paired: each has a hub, the class whose values most others hold, and each member is compared with the hub alone.
    Two members that are linked with the hub are in one group anyway. For the others the differences from the hub are
    compared: with c elements that only one of a class and its hub has, two classes differ in c1 + c2 - 2 * common
    elements, so linked classes have about as many differences each and share most of them, one of the first few in any
@@ -158,21 +158,30 @@ def _pairs(x: DataFrame, y: DataFrame, condition, similarity: int) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a < b").distinct()
 
 
-def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, folder: str) -> DataFrame:
-    """Links that join the members of each long list as all their pairs would.
+def _hubs(long_: DataFrame, folder: str) -> DataFrame:
+    """(value, hub): for each long list the class whose values most others hold, or one that tops a list of that class.
 
-    Sets of n1 and n2 elements are linked if they differ in at most share * (n1 + n2) elements.
+    Common values weigh more than many: a class of rarer values, at the edge of its group, may stand in as many long lists,
+    and what the rest of the group has in common would then be a difference of nearly all of them from their hub.
     """
-    less, more = 100 - similarity, 100 + similarity  # share = less / more
-    weight = long_.groupBy("node").agg(F.count("*").alias("lists"))
+    weight = long_.groupBy("node").agg(F.sum("members").alias("weight"))
     ranked = long_.select("value", "node").join(weight, "node")
-    hubs = written(ranked.groupBy("value").agg(F.max(F.struct("lists", "node")).alias("top")), f"{folder}/tops")
+    hubs = written(ranked.groupBy("value").agg(F.max(F.struct("weight", "node")).alias("top")), f"{folder}/tops")
     # a hub may stand in a list with a better one: taking that one's place, the lists of one group get one hub
     better = ranked.join(hubs, "value").groupBy("node").agg(F.max("top").alias("better"))
     for _ in range(HUB_STEPS):
         hubs = hubs.join(better, F.col("top.node") == F.col("node")).select("value", F.col("better").alias("top"))
-    hubs = hubs.select("value", F.col("top.node").alias("hub"))
-    members = ranked.join(hubs, "value").where("hub <> node").select("hub", "node").distinct()
+    return hubs.select("value", F.col("top.node").alias("hub"))
+
+
+def _hub_links(long_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, folder: str) -> DataFrame:
+    """Links that join the members of each long list as all their pairs would.
+
+    Sets of n1 and n2 elements are linked if they differ in at most share * (n1 + n2) elements.
+    """
+    less, more = 100 - similarity, 100 + similarity  # share = less / more
+    hubs = _hubs(long_, folder)
+    members = long_.select("value", "node").join(hubs, "value").where("hub <> node").select("hub", "node").distinct()
     # a hub with many members is dealt to them in as many copies
     shares = members.groupBy("hub").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     members = members.join(shares, "hub").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))

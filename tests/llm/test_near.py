@@ -71,6 +71,15 @@ def test_long_lists_are_joined_by_hubs(make_docs, monkeypatch, seed, copies, edi
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == groups(data, 4)
 
 
+def test_a_hub_holds_the_values_most_others_hold(spark):
+    # node 99 stands in as many lists as those of the middle, but two of its values are rare
+    lists = {10: [0, 1, 2, 3, 4, 99], 20: [0, 1, 2, 3, 4], 30: [0, 1, 2, 3, 4], 40: [97, 98, 99], 50: [97, 98, 99]}
+    rows = [(value, node, 50, len(nodes)) for value, nodes in lists.items() for node in nodes]
+    long_ = spark.createDataFrame(rows, "value long, node long, n long, members long")
+    hubs = minhash_dedup._hubs(long_, work_folder(spark, "test"))
+    assert {r.value: r.hub for r in hubs.collect()} == dict.fromkeys(lists, 4)
+
+
 def test_one_of_each(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     got = minhash_dedup.one_of_each(docs)
