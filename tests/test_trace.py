@@ -1,5 +1,6 @@
 """Trace operators, relations and preconditions against brute force on small traces."""
 
+import datetime
 import itertools
 import random
 import re
@@ -251,3 +252,13 @@ def test_line_groups_follow_the_first_line_not_yet_in_one(spark):
         taken.update(near)
         want.append((times + sum(ordered[j][2] for j in near), 1 + len(near)))
     assert sorted((r.times, r.variants) for r in got.collect()) == sorted(want)
+
+
+def test_unchanged_related_variables_are_judged_over_whole_calls(spark, rows, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    data = [(event, start + datetime.timedelta(seconds=at), 8, "view", value, '{"k": 1}') for event, at, value in ((1, 0, 0.1), (2, 60, 120.0), (3, 80000, 0.0))]
+    events = spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    # the first call lasts 90 s and holds the change at 60 s, but not in its first twentieth
+    assert rows(plans.j10(spark, str(tmp_path)), "call_id", "var_name") == []
+    assert {r[0] for r in rows(plans.j10_short(spark, str(tmp_path)), "call_id")} == {"c000000000001"}
