@@ -47,3 +47,12 @@ def test_a_skipped_part_is_looked_for_in_one_pass_over_the_name(spark, rows):
     assert rows(kept) == [("mod.view_1",), ("torchxautograd",)]
     names = tr.analysable(spark.range(4).select(F.concat(F.lit("mod."), F.upper(F.lower(F.col("id").cast("string")))).alias("function")))
     assert names._jdf.queryExecution().optimizedPlan().toString().count("upper(") <= 3
+
+
+def test_kind_sets_equal_all_pairs(spark, rows):
+    for seed, most in ((4, None), (5, 20)):
+        spans, points, a, b = made(spark, seed)
+        expected = sorted({(i, kind) for i, key, s, e in a for k, kind, t in b if key == k and key and t is not None and s <= t <= e}, key=repr)
+        sets = ranges.kind_sets_within(spans, points, ["key"], ["kind"], "start", "end", "at", most)
+        listed = sets.rows.alias("r").join(sets.kinds.alias("k"), F.expr("r._word = k._word and r._bits = k._bits"))
+        assert rows(listed, "id", "kind") == expected

@@ -262,3 +262,31 @@ def test_unchanged_related_variables_are_judged_over_whole_calls(spark, rows, tm
     # the first call lasts 90 s and holds the change at 60 s, but not in its first twentieth
     assert rows(plans.j10(spark, str(tmp_path)), "call_id", "var_name") == []
     assert {r[0] for r in rows(plans.j10_short(spark, str(tmp_path)), "call_id")} == {"c000000000001"}
+
+
+def test_merged_containment_counts_sets_as_it_counts_lists(spark, rows):
+    rng = random.Random(6)
+    made = []
+    for i in range(60):
+        start = rng.randrange(400)
+        made.append((rng.choice([0, 1]), rng.choice([f"c{i}", f"c{i}", "c0", None]), rng.choice(["f", "g", "g", None]), start, start + rng.choice([0, 5, 90])))
+    of = spark.createDataFrame(made, "process_id int, call_id string, function string, start long, end long").repartition(3)
+    changes = spark.createDataFrame(
+        [(rng.choice([0, 1]), "p", "t", rng.choice(["a", "b", None]), rng.randrange(450), "0", rng.choice([str(rng.randrange(90)), "7", None]))
+         for _ in range(500)],
+        "process_id int, var_name string, var_type string, attr string, time long, old_value string, new_value string").repartition(3)
+    kind = ["attr", "new_value"]
+    listed = rel.containment_examples(of, tr.changes_in_calls(of, changes, kind), kind)
+    sets = rel.containment_examples(of, tr.changes_in_calls(of, changes, kind, sets=True), kind)
+    columns = ["parent", "attr", "positives", "negatives", "rules", "merged", F.round("mean_likelihood", 9), F.round("likelihood", 9)]
+    want = rows(rel.merged_containment(listed, ["parent", "attr"], "new_value"), *columns)
+    assert len(want) == 4 and rows(rel.merged_containment(sets, ["parent", "attr"], "new_value"), *columns) == want
+
+
+def test_examples_of_merged_containment_are_not_listed(spark, monkeypatch):
+    given, merged = [], rel.merged_containment
+    monkeypatch.setattr(rel, "merged_containment", lambda examples, *more: given.append(examples) or merged(examples, *more))
+    sf = "/root/testdata/sf0.001"
+    assert not plans.i9(spark, sf).isEmpty()
+    kinds, calls_ = given[0].kinds.count(), plans.calls(spark, sf).count()
+    assert kinds > 20 and given[0].rows.count() <= calls_ * (1 + kinds // 64)
